@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP2_SQL, op2_decontaminate
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .token_counts import op6_token_counts
 from .token_files import op1_token_files
 from .url_filter import OP3_SQL, op3_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_url_filter, op4_line_dedup, op6_token_counts)}
-ORACLES = {"op3_url_filter": OP3_SQL, "op4_line_dedup": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontaminate, op3_url_filter, op4_line_dedup, op6_token_counts)}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_line_dedup": OP4_SQL}

@@ -9,7 +9,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _OWN: dict[str, str] = {}
 
@@ -40,20 +44,19 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def slices(batch, size_column: str | None = None, most_rows: int = 512, most_bytes: int = 8 << 20):
-    """Splits an Arrow record batch into zero-copy slices of bounded rows and text bytes.
+    """Splits an Arrow record batch (or struct array) into zero-copy slices of bounded rows and text bytes.
 
     A row longer than most_bytes forms a slice of its own.
     """
-    n = batch.num_rows
+    n = len(batch) if isinstance(batch, pa.Array) else batch.num_rows
     if not n:
         return
     if size_column is None:
         for i in range(0, n, most_rows):
             yield batch.slice(i, most_rows)
         return
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(size_column))), 0).to_pylist()
+    column = batch.field(size_column) if isinstance(batch, pa.Array) else batch.column(batch.schema.get_field_index(size_column))
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     at, total = 0, 0
     for i, b in enumerate(sizes):
         if i > at and (total + b > most_bytes or i - at >= most_rows):
@@ -61,3 +64,34 @@ def slices(batch, size_column: str | None = None, most_rows: int = 512, most_byt
             at, total = i, 0
         total += b
     yield batch.slice(at, n - at)
+
+
+def raw_texts(rows, name: str) -> list[bytes | None]:
+    """The bytes of a string column; nothing is decoded, so odd bytes do no harm."""
+    return pc.struct_field(rows, name).cast(pa.string()).view(pa.binary()).to_pylist()
+
+
+def with_arrow_columns(df: DataFrame, fields: str, start, size_column: str | None = None, most_rows: int = 512, most_bytes: int = 8 << 20) -> DataFrame:
+    """df with further columns that Python computes from Arrow slices of its rows.
+
+    start() is called once a task and returns a function from a struct array of rows to
+    arrays, one for each of fields ("name type, ..."). Columns of df that have the name
+    of a new one are replaced, as withColumn does.
+    """
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    base = df.select(row.alias("r"))
+    names = StructType.fromDDL(fields).names
+
+    def run(batches):
+        work = start()
+        for batch in batches:
+            rows = batch.column(0)
+            for part in slices(rows, at.get(size_column), most_rows, most_bytes):
+                named = pa.StructArray.from_arrays([pc.struct_field(part, v) for v in at.values()], names=list(at))
+                yield pa.RecordBatch.from_arrays([part, *work(named)], names=["r", *[f"n{i}" for i in range(len(names))]])
+
+    schema = StructType([base.schema[0], *[StructField(f"n{i}", f.dataType) for i, f in enumerate(StructType.fromDDL(fields))]])
+    out = base.mapInArrow(run, schema)
+    kept = [F.col("r").getField(at[c]).alias(c) for c in df.columns if c not in names]
+    return out.select(*kept, *[F.col(f"n{i}").alias(c) for i, c in enumerate(names)])
