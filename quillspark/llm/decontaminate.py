@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import raw_texts, stored, with_arrow_columns
+from .shared import free, raw_texts, stored, with_arrow_columns
 
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SPAN = re.compile(rb"[^ ]+")
@@ -133,24 +133,24 @@ def decontaminate(
     if shards == 1:
         out = _scan(docs, pick(0), text_col, size)
     else:
-        key = [F.xxhash64(f"`{text_col}`").alias("_h1"), F.xxhash64(F.lit(7), f"`{text_col}`").alias("_h2")]
+        h1, h2 = free(docs, "_h1"), free(docs, "_h2")
         texts = docs.select(F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
         parts = []
         for k in range(shards):
             hit = _scan(texts, pick(k), "text", size).where(F.size("ranges") > 0)
-            parts.append(stored(hit.select(F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(7), "text").alias("_h2"), "ranges", "item_ids", "spans"), "hits"))
+            parts.append(stored(hit.select(F.xxhash64("text").alias(h1), F.xxhash64(F.lit(7), "text").alias(h2), "ranges", "item_ids", "spans"), "hits"))
         one = parts[0]
         for p in parts[1:]:
             one = one.unionAll(p)
-        one = one.distinct().groupBy("_h1", "_h2").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("ranges", "item_ids", "spans")])
+        one = one.distinct().groupBy(h1, h2).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("ranges", "item_ids", "spans")])
         merge = (
             "aggregate({0}, cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) -> if(size(acc) > 0 and element_at(acc, -1).end >= x.start, "
             "concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(element_at(acc, -1).end, x.end) as end))), concat(acc, array(x))))"
         )
         one = one.withColumns({"ranges": F.expr(merge.format("ranges")), "spans": F.expr(merge.format("spans"))})
         base = _scan(docs, [], text_col, size).drop("ranges", "item_ids", "spans")
-        base = base.withColumns({"_h1": key[0], "_h2": key[1]})
-        out = base.join(one, ["_h1", "_h2"], "left").drop("_h1", "_h2")
+        base = base.withColumns({h1: F.xxhash64(f"`{text_col}`"), h2: F.xxhash64(F.lit(7), f"`{text_col}`")})
+        out = base.join(one, [h1, h2], "left").drop(h1, h2)
         empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
         out = out.withColumns({"ranges": F.coalesce("ranges", empty), "spans": F.coalesce("spans", empty), "item_ids": F.coalesce("item_ids", F.expr("cast(array() as array<string>)"))})
     hits = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])

@@ -63,17 +63,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumnRenamed("_d", "_dd")
         .withColumnRenamed("_t", "_dt")
     )
-    out = docs.withColumns({"_lines": lines_of(text), "_t": F.xxhash64(text)})
-    out = out.join(drops, (doc == F.col("_dd")) & (F.col("_t") == F.col("_dt")), "left")
+    new = ("_n_lines", "_n_dropped", "_kept_text")
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    out = docs.select(row.alias("_row"), doc.alias("_id"), F.xxhash64(text).alias("_t"), lines_of(text).alias("_lines"))
+    out = out.join(drops, (F.col("_id") == F.col("_dd")) & (F.col("_t") == F.col("_dt")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_drops", F.array().cast("array<int>")))
     kept_lines = F.when(F.col("_drops").isNull(), F.col("_lines")).otherwise(F.transform(kept, lambda i: F.get("_lines", i)))
-    return out.withColumns(
-        {
-            "_n_lines": F.size("_lines").cast("long"),
-            "_n_dropped": F.coalesce(F.size(F.array_distinct("_drops")), F.lit(0)).cast("long"),
-            "_kept_text": F.array_join(kept_lines, "\n"),
-        }
-    ).drop("_lines", "_t", "_dd", "_dt", "_drops")
+    out = out.select("_row", F.size("_lines").cast("long").alias("_n"), F.coalesce(F.size(F.array_distinct("_drops")), F.lit(0)).cast("long").alias("_gone"), F.array_join(kept_lines, "\n").alias("_text"))
+    old = [F.col("_row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in new]
+    return out.select(*old, F.col("_n").alias("_n_lines"), F.col("_gone").alias("_n_dropped"), F.col("_text").alias("_kept_text"))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import raw_texts, slices, stored, with_arrow_columns
+from .shared import free, raw_texts, slices, stored, with_arrow_columns
 
 BANDS, ROWS, BITS = 32, 4, 4
 #: Estimates at which a pair is a candidate, and at which a member leaves a bucket.
@@ -280,9 +280,10 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows of docs that duplicate_classes keeps, with their columns."""
-    gone = duplicate_classes(docs, id_col, text_col, size, share).where("NOT kept").select(F.col("id").alias("_gone"), F.col("h").alias("_gone_h"))
+    key, mark = free(docs, "_gone"), free(docs, "_gone_h")
+    gone = duplicate_classes(docs, id_col, text_col, size, share).where("NOT kept").select(F.col("id").alias(key), F.col("h").alias(mark))
     text = F.col(f"`{text_col}`").cast("string")
-    return docs.join(gone, (F.col(f"`{id_col}`") == F.col("_gone")) & (F.xxhash64(text) == F.col("_gone_h")), "left_anti")
+    return docs.join(gone, (F.col(f"`{id_col}`") == F.col(key)) & (F.xxhash64(text) == F.col(mark)), "left_anti")
 
 
 def op5_near_dup(spark, sf_dir: str) -> DataFrame:

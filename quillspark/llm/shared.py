@@ -43,6 +43,14 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or it with underscores, such that no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batch, size_column: str | None = None, most_rows: int = 512, most_bytes: int = 8 << 20):
     """Splits an Arrow record batch (or struct array) into zero-copy slices of bounded rows and text bytes.
 

@@ -162,7 +162,7 @@ def top_k(
     part. Shorter vectors count as filled with zeros. Ties go to the smaller id. Rows
     with a query's own id are not its candidates; a query id that repeats is asked once,
     with the vector that orders first; candidates that repeat each count. Products
-    beyond 64 bits are clipped. Other columns are ignored.
+    beyond 64 bits are clipped before they are ranked. Other columns are ignored.
     """
     spark = vectors.sparkSession
     every = stored(_integers(vectors, id_col, vector_col, scale), "vectors")
@@ -179,6 +179,7 @@ def top_k(
             for i, row in enumerate(batch.to_pylist()):
                 qids, q = _unpacked(row)
                 scores = products(q, p).astype(np.float64)
+                scores = np.where(np.abs(scores) < _EXACT, scores, np.nextafter(scores, -np.inf))  # a bound, not rounded up
                 scores[qids[:, None] == pids[None, :]] = -np.inf
                 theta = np.partition(scores, len(pids) - k, axis=1)[:, len(pids) - k] if len(pids) > k else np.full(len(qids), -np.inf)
                 with np.errstate(divide="ignore"):
