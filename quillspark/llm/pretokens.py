@@ -11,6 +11,7 @@ whole by the library instead. Ids are therefore always the library's.
 from __future__ import annotations
 
 import json
+import os
 from itertools import islice
 
 import numpy as np
@@ -19,6 +20,11 @@ import numpy as np
 CACHE_ENTRIES = 450_000
 
 
+def id_type(vocabulary: int) -> str:
+    """The little-endian type of ids of a vocabulary."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 def pieces_of(text: str, specials: tuple[str, ...]) -> list[str] | None:
     """Pieces whose ids joined are the text's, or None if it has to be encoded whole.
 
@@ -42,6 +48,7 @@ class PieceCache:
     """Encodes batches of texts and keeps the values of their pieces."""
 
     def __init__(self, path: str, frequent: dict | None = None, as_ids: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -57,6 +64,8 @@ class PieceCache:
         self.newline = newline[0] if len(newline) == 1 else -1
         self.cuts = self.cuts and self.newline >= 0
         self.as_ids = as_ids
+        self.dtype = id_type(self.tokenizer.get_vocab_size())
+        self.width = np.dtype(self.dtype).itemsize
         self.frequent = dict(frequent or {})
         self.cache: dict = dict(self.frequent)
         self.older: dict = {}
@@ -64,7 +73,7 @@ class PieceCache:
     def encoded(self, texts: list[str]) -> list:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         if self.as_ids:
-            return [np.asarray(e.ids, dtype="<u4").tobytes() for e in got]
+            return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in got]
         return [len(e) for e in got]
 
     def pieces(self, keys: list[str]) -> list:
@@ -80,13 +89,13 @@ class PieceCache:
             at += 512
             bare = [p[:1] == "\n" for p in part]
             joined = "\n".join([p[1:] if b else " " + p for p, b in zip(part, bare, strict=True)])
-            ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
             ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
             starts = np.append(0, ends[:-1] + 1)
             assert len(ends) == len(part)
             if self.as_ids:
-                raw, first = ids.tobytes(), np.uint32(self.newline).tobytes()
-                out += [(first + raw[4 * a : 4 * b]) if n else raw[4 * a : 4 * b] for a, b, n in zip(starts.tolist(), ends.tolist(), bare, strict=True)]
+                raw, first, w = ids.tobytes(), np.array(self.newline, dtype=self.dtype).tobytes(), self.width
+                out += [(first + raw[a:b]) if n else raw[a:b] for a, b, n in zip((w * starts).tolist(), (w * ends).tolist(), bare, strict=True)]
             else:
                 out += (ends - starts + np.asarray(bare)).tolist()
         return out
@@ -128,7 +137,7 @@ class PieceCache:
             rest = map(get, islice(cut[i], 1, None))
             head = get(heads[i]) if i in heads else None  # a first piece is known as the one after a newline
             if self.as_ids:
-                out[i] = (head[4:] if head else b"") + b"".join(rest)
+                out[i] = (head[self.width :] if head else b"") + b"".join(rest)
             else:
                 out[i] = (head - 1 if head else 0) + sum(rest)
         for i, v in zip(whole, self.encoded([texts[i] or "" for i in whole]), strict=True):

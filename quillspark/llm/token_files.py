@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .pretokens import worker_cache
+from .piece_table import release_table, worker_table
 from .shared import new_path, slices, stored
 
 #: Tokens after which a block is closed; a longer document makes its block longer.
@@ -42,27 +42,28 @@ def _packer():
 
 
 def encoded_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """id, n and ids (compressed little-endian 32-bit) of every row, the end id appended."""
+    """id, n and ids (compressed little-endian, of 16 or 32 bits) of every row, the end id appended."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    end = np.uint32(end_id).tobytes()
 
     def tokenise(batches):
-        cache, (pack, _) = worker_cache(path, as_ids=True), _packer()
+        table, (pack, _) = worker_table(path), _packer()
+        w, end = table.library.width, np.array(end_id, dtype=table.dtype).tobytes()
         for batch in batches:
             for part in slices(batch, "text"):
-                raw = [x + end for x in cache.batch(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([pack.compress(planes(x)) for x in raw], pa.binary())], names=["id", "n", "ids"])
+                raw = [x + end for x in table.encode(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // w for x in raw], pa.int64()), pa.array([pack.compress(planes(x, w)) for x in raw], pa.binary())], names=["id", "n", "ids"])
 
     return rows.mapInArrow(tokenise, "id long, n long, ids binary")
 
 
-def planes(raw: bytes) -> bytes:
+def planes(raw: bytes, width: int) -> bytes:
     """Byte planes: all low bytes, then the next ones, which compresses faster and better."""
-    return np.frombuffer(raw, dtype=np.uint8).reshape(-1, 4).T.tobytes()
+    return np.frombuffer(raw, dtype=np.uint8).reshape(-1, width).T.tobytes()
 
 
-def unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def unplanes(raw: bytes, n: int) -> np.ndarray:
+    width = len(raw) // n
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, n).T).view(f"<u{width}").ravel()
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_tokens: int = BLOCK_TOKENS) -> str:
@@ -76,18 +77,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     ids = stored(encoded_ids(docs, tokenizer, id_col, text_col, end_id), "token-ids")
 
     def histogram(batches):
+        release_table()
         counts = np.zeros(0, dtype=np.int64)
         _, unpack = _packer()
         for batch in batches:
             for part in slices(batch, "ids"):
-                all_ids = np.concatenate([unplanes(unpack.decompress(x)) for x in part.column(0).to_pylist()])
+                all_ids = np.concatenate([unplanes(unpack.decompress(x), n) for n, x in zip(*[c.to_pylist() for c in part.columns], strict=True)])
                 got = np.bincount(all_ids, minlength=len(counts))
                 got[: len(counts)] += counts
                 counts = got
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["symbol", "n"])
 
-    counted = ids.select("ids").mapInArrow(histogram, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    counted = ids.select("n", "ids").mapInArrow(histogram, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
     table = counted.toPandas()  # a row a symbol of the vocabulary at most
     if len(table):
         t = rans.Table.scaled(table["symbol"].to_numpy(), table["n"].to_numpy())
@@ -102,6 +104,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     ordered = ids.repartitionByRange(parts, "id").sortWithinPartitions("id", "n", "ids")
 
     def blocks(batches):
+        release_table()
         part, (_, unpack) = TaskContext.get().partitionId(), _packer()
         t = rans.Table(*map(np.array, zip(*shared.value, strict=True))) if shared.value else None
         held_ids: list = []
@@ -115,9 +118,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
 
         for batch in batches:
             for some in slices(batch, "ids"):
-                for i, x in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), strict=True):
+                for i, n, x in zip(*[c.to_pylist() for c in some.columns], strict=True):
                     held_ids.append(i)
-                    held.append(unplanes(unpack.decompress(x)))
+                    held.append(unplanes(unpack.decompress(x), n))
                     size += len(held[-1])
                     if size >= block_tokens:
                         yield close()
@@ -141,6 +144,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in spark.read.parquet(f"{path}/table").orderBy("symbol").collect()])
 
     def decode(batches):
+        release_table()
         t = rans.Table(*map(np.array, zip(*shared.value, strict=True))) if shared.value else None
         for batch in batches:
             for row in batch.to_pylist():

@@ -4,10 +4,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from quillspark.llm import rans
+from quillspark.llm import piece_table, rans
 from quillspark.llm.pretokens import PieceCache
 from quillspark.llm.shared import new_path
 from quillspark.llm.token_counts import count_tokens, op6_token_counts
@@ -29,7 +30,20 @@ def test_piece_cache_gives_the_librarys_ids():
         cache = PieceCache(PATH, as_ids=as_ids)
         got = cache.batch(texts)
         for text, mine, ids in zip(texts, got, library(texts), strict=True):
-            assert (np.frombuffer(mine, "<u4").tolist() if as_ids else mine) == (ids if as_ids else len(ids)), text
+            assert (np.frombuffer(mine, "<u2").tolist() if as_ids else mine) == (ids if as_ids else len(ids)), text
+
+
+@pytest.mark.parametrize("slot_bits", [8, 16])
+def test_piece_table_gives_the_librarys_ids(slot_bits, monkeypatch):
+    rng = np.random.default_rng(6)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "a", "The", "'s", "1", "é", "\xa0", "　", ".", ",", "!?", "’", "᠎", "<|endoftext|>", "世", "\x1c", "\x85", "\r\n", "Â", "word, ", "end. "]
+    texts = [*ODD, None, *["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(4000)]]
+    monkeypatch.setattr(piece_table, "CHUNK", 64)
+    table = piece_table.PieceTable(PATH, slot_bits)
+    for k in range(0, len(texts), 50):
+        column = pa.array(["x", *texts[k : k + 50]]).slice(1)
+        for text, mine, ids in zip(texts[k : k + 50], table.encode(column), library(texts[k : k + 50]), strict=True):
+            assert np.frombuffer(mine, "<u2").tolist() == ids, text
 
 
 def test_rans_round_trip_and_checksums():
