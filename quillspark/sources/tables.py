@@ -19,14 +19,21 @@ from quillspark.functions.text import query_content, wiki_url_to_uri
 _OWN: dict[str, str] = {}
 
 
-def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir; a temporary one in local tests) and scanned again."""
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder (spark.checkpoint.dir; a temporary one in local tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="quillspark-"))
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if spark.sparkContext.applicationId not in _OWN:
+            _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        base = _OWN[spark.sparkContext.applicationId]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and scanned again."""
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -115,9 +122,9 @@ def read_ntriples(spark: SparkSession, paths: list[str], prefixes: dict[str, str
     return out.join(last, ["s", "p", "file"]).groupBy("s", "p").agg(F.array_sort(F.collect_list("o")).alias("o"))
 
 
-def read_surface_counts(spark: SparkSession, path: str, predicate: str = "facc12", lowercase: bool = True) -> DataFrame:
-    """S-10: surface, predicate, en_uri, cnt summed over all .tsv files below path."""
-    rows = spark.read.options(sep="\t", quote="", recursiveFileLookup=True, pathGlobFilter="*.tsv").schema("surface string, fb_id string, cnt long").csv(path)
+def read_surface_counts(spark: SparkSession, path: str, predicate: str = "facc12", lowercase: bool = True, glob: str = "*.tsv") -> DataFrame:
+    """S-10: surface, predicate, en_uri, cnt summed over all files below path whose names match."""
+    rows = spark.read.options(sep="\t", quote="", recursiveFileLookup=True, pathGlobFilter=glob).schema("surface string, fb_id string, cnt long").csv(path)
     surface = F.lower("surface") if lowercase else F.col("surface")
     from quillspark.functions.text import freebase_id_to_uri
 
@@ -135,9 +142,9 @@ def read_annotated_corpus(spark: SparkSession, path: str) -> DataFrame:
 INSTANCE = "map<string,struct<target:string,features:map<string,double>,properties:map<string,string>>>"
 
 
-def read_instances(spark: SparkSession, path: str) -> DataFrame:
-    """S-12: id, target, features, properties of a JSON object by id (a line or the whole file)."""
-    text = spark.read.option("wholetext", True).text(path)
+def read_instances(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """S-12: id, target, features, properties of JSON objects by id: one a file, or one a line, which splits."""
+    text = spark.read.option("wholetext", not lines).text(path)
     return text.select(F.explode(F.from_json("value", INSTANCE)).alias("id", "i")).select("id", "i.target", "i.features", "i.properties")
 
 
