@@ -35,8 +35,8 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: Longer segments are composed one at a time.
-LONG = 48
+#: Segments by places of a batch of lattices.
+CELLS = 1 << 20
 NONE = -1
 
 
@@ -253,15 +253,17 @@ def may_stand_together(model: Model, a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 def encode_segments(model: Model, segments: list[str]) -> list[bytes]:
     """Ids (little-endian, of id_type) of segments, in which spaces are escaped."""
-    out: list[bytes | None] = [None] * len(segments)
-    short = [i for i, s in enumerate(segments) if len(s) <= LONG]
-    for at in range(0, len(short), 8192):
-        part = short[at : at + 8192]
+    out: list[bytes] = [b""] * len(segments)
+    order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
+    at = 0
+    while at < len(order):
+        end = at + 1  # as many of like length as fit a table of bounded size; one alone in any case
+        while end < len(order) and end - at < 8192 and (end + 1 - at) * (len(segments[order[end]]) + 1) <= CELLS:
+            end += 1
+        part = order[at:end]
         for i, v in zip(part, _shortest(model, [segments[i] for i in part]), strict=True):
             out[i] = v
-    for i, s in enumerate(segments):
-        if out[i] is None:
-            out[i] = _shortest(model, [s])[0]
+        at = end
     return out
 
 
