@@ -6,8 +6,11 @@ executor can read it again, and it keeps its columns apart, so later scans prune
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +47,21 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session: they need not have it installed."""
+    app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parent.parent
+    if app in _SHIPPED or not root.is_dir():
+        return
+    _SHIPPED.add(app)
+    files = sorted(root.rglob("*.py"))
+    mark = hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()[:12]
+    archive = Path(tempfile.mkdtemp(prefix="quillspark-")) / f"{root.name}-{mark}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in files:
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def free(df: DataFrame, name: str) -> str:
     """name, or it with underscores, such that no column of df has it."""
     taken = {c.lower() for c in df.columns}
@@ -86,6 +105,7 @@ def with_arrow_columns(df: DataFrame, fields: str, start, size_column: str | Non
     arrays, one for each of fields ("name type, ..."). Columns of df that have the name
     of a new one are replaced, as withColumn does.
     """
+    ship(df.sparkSession)
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
     at = {c: f"c{i}" for i, c in enumerate(df.columns)}
     base = df.select(row.alias("r"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import PieceCache, pieces_of, worker_cache
-from .shared import slices
+from .shared import ship, slices
 
 
 def frequent_lengths(docs: DataFrame, text_col: str, path: str, frequent: int = 65_536, sample_rows: int = 2_048, sample_bytes: int = 16_384) -> dict[str, int]:
@@ -41,6 +41,7 @@ def count_tokens(docs: DataFrame, path: str, id_cols: tuple[str, ...] = ("doc_id
     text = F.col(f"`{text_col}`")
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(id_cols)], F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("_bytes"), text.cast("string").alias("_text"))
     run = uuid.uuid4().hex
+    ship(docs.sparkSession)
     if path.endswith(".model"):
         shared = None
     else:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import rans
 from .piece_table import release_table, worker_table
-from .shared import new_path, slices, stored
+from .shared import new_path, ship, slices, stored
 
 #: Tokens after which a block is closed; a longer document makes its block longer.
 BLOCK_TOKENS = 1 << 20
@@ -43,6 +43,7 @@ def _packer():
 
 def encoded_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """id, n and ids (compressed little-endian, of 16 or 32 bits) of every row, the end id appended."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def tokenise(batches):
@@ -138,6 +139,7 @@ _BLOCK_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.lis
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start (tokens of all documents before it), n_tokens, ids_crc32, and ids if asked for."""
+    ship(spark)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     totals = sorted(tuple(r) for r in blocks.groupBy("part").agg(F.sum("n")).collect())  # a row a part
     bases = dict(zip([p for p, _ in totals], itertools.accumulate([n for _, n in totals], initial=0), strict=False))

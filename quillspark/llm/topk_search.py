@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import ship, stored
 
 #: Rows of a bucket and of a block.
 BUCKET, BLOCK = 2048, 512
@@ -165,6 +165,7 @@ def top_k(
     beyond 64 bits are clipped before they are ranked. Other columns are ignored.
     """
     spark = vectors.sparkSession
+    ship(spark)
     every = stored(_integers(vectors, id_col, vector_col, scale), "vectors")
     asked = stored(_integers(vectors.where(is_query), id_col, vector_col, scale).groupBy("id").agg(F.min(F.struct("v", "norm")).alias("x")).select("id", "x.norm", "x.v"), "queries")
     buckets, blocks = stored(_groups(every, bucket, "bucket-rows"), "buckets"), _groups(asked, block, "block-rows")
