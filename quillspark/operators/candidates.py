@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import ngrams
+from quillspark.sources.tables import shared_table
 
 ANNOTATED = ["facc09", "facc12"]
 
@@ -40,11 +41,19 @@ def variant_matches(grams: DataFrame, surface_forms: DataFrame, common: DataFram
     return found.join(known, ["mention", "en_id"], "left").withColumn("commonness", F.coalesce("commonness", F.lit(0.0)))
 
 
-def candidates(queries: DataFrame, surface_forms: DataFrame, threshold: float | None = 0.1, kb: DataFrame | None = None) -> DataFrame:
-    """J-07, J-08, J-09: candidates of every mention; matches counts them before the filter on kb (en_id)."""
-    grams, common = mentions(queries), commonness(surface_forms)
-    linked = annotated_matches(grams, common, threshold).select("q_id", "mention", "n", "en_id", "commonness")
+def candidates(queries: DataFrame, surface_forms: DataFrame, threshold: float | None = 0.1, kb: DataFrame | None = None, common: DataFrame | None = None) -> DataFrame:
+    """J-07, J-08, J-09: candidates of every mention; matches counts them before the filter on kb (en_id).
+
+    What is used more than once (mentions, commonness, both kinds of matches) is written
+    to the shared folder, so that the joins below it run once. common: commonness() of
+    the surface forms, if at hand.
+    """
+    spark = queries.sparkSession
+    grams = shared_table(spark, mentions(queries), "mentions")
+    common = common if common is not None else shared_table(spark, commonness(surface_forms), "commonness")
+    linked = shared_table(spark, annotated_matches(grams, common, threshold).select("q_id", "mention", "n", "en_id", "commonness"), "linked")
     both = linked.unionByName(variant_matches(grams, surface_forms, common, linked).select("q_id", "mention", "n", "en_id", "commonness"))
+    both = shared_table(spark, both, "matches")
     counts = both.groupBy("q_id", "mention").agg(F.count(F.lit(1)).alias("matches"))
     out = both.join(counts, ["q_id", "mention"])
     return out.join(kb.select("en_id").distinct(), "en_id", "left_semi") if kb is not None else out

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import analysed, words
+from quillspark.sources.tables import shared_table
 
 
 @dataclass
@@ -34,11 +35,16 @@ class Index:
 
 
 def build_index(values: DataFrame, stop: list[str] | None = None) -> Index:
-    """X-01 (last step), A-02, A-03: values (doc_id, field, value), analysed and counted."""
+    """X-01 (last step), A-02, A-03: values (doc_id, field, value), analysed and counted.
+
+    Texts are read and analysed once: postings are written to the shared folder, and the
+    other tables are sums over them.
+    """
     tokens = values.select("doc_id", "field", F.explode(analysed(F.col("value"), stop)).alias("term"))
-    postings = tokens.groupBy("doc_id", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = tokens.groupBy("doc_id", "field").agg(F.count(F.lit(1)).alias("len"))
-    terms = postings.groupBy("field", "term").agg(F.sum("tf").alias("ctf"), F.count(F.lit(1)).alias("df"))
+    postings = shared_table(values.sparkSession, tokens.groupBy("doc_id", "field", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    spark = values.sparkSession
+    lengths = shared_table(spark, postings.groupBy("doc_id", "field").agg(F.sum("tf").alias("len")), "lengths")
+    terms = shared_table(spark, postings.groupBy("field", "term").agg(F.sum("tf").alias("ctf"), F.count(F.lit(1)).alias("df")), "terms")
     fields = lengths.groupBy("field").agg(F.sum("len").alias("clen"), F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
     return Index(postings, lengths, terms, fields)
 
@@ -92,6 +98,7 @@ def _background(index: Index, terms: DataFrame, weights: DataFrame, lam: float)
     Terms that no weighted field has are gone: they are skipped in every score.
     """
     used = terms.join(index.terms, "term").join(weights, "field").join(index.fields.select("field", "clen", "avg_len"), "field")
+    used = shared_table(terms.sparkSession, used, "query-terms")  # read by every part of a score
     total = used.groupBy("q_id", "term").agg(F.sum(F.col("weight") * F.col("ctf") / F.col("clen")).alias("pc"))
     return used.join(total, ["q_id", "term"])
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import query_content
+from quillspark.sources.tables import shared_table
 
 #: Commonness from which a mention links an entity.
 THRESHOLD = 0.03
@@ -29,7 +30,8 @@ def queries(spark, sf) -> DataFrame:
     best = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("rn", F.row_number().over(w)).where("rn = 1")
     held = best.select("c_nationkey", "o_orderkey").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name"))), lambda x: x["p_name"]), " ")
-    return held.groupBy("c_nationkey").agg(names.alias("text")).select(F.concat(F.lit("n_"), F.col("c_nationkey").cast("string")).alias("q_id"), query_content(F.col("text")).alias("q_content"))
+    texts = held.groupBy("c_nationkey").agg(names.alias("text"))
+    return shared_table(spark, texts.select(F.concat(F.lit("n_"), F.col("c_nationkey").cast("string")).alias("q_id"), query_content(F.col("text")).alias("q_content")), "queries")
 
 
 Q = """top AS (

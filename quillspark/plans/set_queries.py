@@ -14,6 +14,7 @@ from quillspark.operators import training as L
 from quillspark.plans import bindings as B
 from quillspark.sources import knowledge_base as K
 from quillspark.sources import sinks
+from quillspark.sources.tables import shared_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -130,11 +131,11 @@ sets AS (SELECT q_id, ms, es FROM s1 UNION ALL SELECT q_id, ms, es FROM s2 UNION
 
 def _few(spark, sf):
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "mention", "en_id")
-    return _best(spark, sf).withColumn("rk", F.row_number().over(w)).where("rk <= 6").drop("rk")
+    return shared_table(spark, _best(spark, sf).withColumn("rk", F.row_number().over(w)).where("rk <= 6").drop("rk"), "few")
 
 
-def _sets(spark, sf):
-    sets = D.entity_sets(_few(spark, sf), 3)
+def _sets(spark, sf, few=None):
+    sets = D.entity_sets(few if few is not None else _few(spark, sf), 3)
     return sets.withColumn("ms", F.array_join(F.transform("members", lambda m: m["mention"]), "|")).withColumn("es", F.array_join(F.transform("members", lambda m: m["en_id"].cast("string")), "|"))
 
 
@@ -146,9 +147,10 @@ def interpretation_sets(spark, sf):
 _MEMB = f"{_LEVELS}, mb AS (SELECT q_id, array_to_string(ms, '|') AS ms, array_to_string(es, '|') AS es, unnest(ms) AS mention, unnest(es) AS en_id FROM sets), at AS (SELECT mb.*, t.score, len(t.w) AS m FROM mb JOIN t ON t.q_id = mb.q_id AND t.mention = mb.mention AND t.en_id = mb.en_id)".replace(", at AS", ", att AS")
 
 
-def _members(spark, sf):
-    flat = _sets(spark, sf).select("q_id", "ms", "es", F.explode("members").alias("m")).select("q_id", "ms", "es", "m.mention", "m.en_id")
-    return flat.join(_few(spark, sf).select("q_id", "mention", "en_id", "score", "n"), ["q_id", "mention", "en_id"])
+def _members(spark, sf, few=None):
+    few = few if few is not None else _few(spark, sf)
+    flat = _sets(spark, sf, few).select("q_id", "ms", "es", F.explode("members").alias("m")).select("q_id", "ms", "es", "m.mention", "m.en_id")
+    return flat.join(few.select("q_id", "mention", "en_id", "score", "n"), ["q_id", "mention", "en_id"])
 
 
 @query(f"{_MEMB} SELECT q_id, ms, es, min(score) AS score_min, max(score) AS score_max, round(avg(score), 9) AS score_avg FROM att GROUP BY ALL")
@@ -247,8 +249,8 @@ def entity_flags(spark, sf):
 _TRUTH = f"{B.ALL}, tr AS (SELECT q_id, q_content, mention, en_id, n, CAST(en_id % 3 AS VARCHAR) AS set_id FROM cand WHERE en_id % 2 = 0 AND commonness >= {B.THRESHOLD})"
 
 
-def _truth(spark, sf):
-    some = B.found(spark, sf).where((F.col("en_id") % 2 == 0) & (F.col("commonness") >= B.THRESHOLD))
+def _truth(spark, sf, found=None):
+    some = (found if found is not None else B.found(spark, sf)).where((F.col("en_id") % 2 == 0) & (F.col("commonness") >= B.THRESHOLD))
     return some.withColumn("set_id", (F.col("en_id") % 3).cast("string"))
 
 
@@ -260,13 +262,15 @@ def gt_sets(spark, sf):
 @query(f"""{_TRUTH} SELECT q_id, mention, en_id, round(commonness, 9) AS commonness, '0' AS target FROM cand WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.q_id = cand.q_id AND tr.en_id = cand.en_id)
 UNION ALL SELECT DISTINCT tr.q_id, tr.mention, tr.en_id, round(coalesce(cm.commonness, 0), 9), '1' FROM tr LEFT JOIN cm ON cm.surface = tr.mention AND cm.en_id = tr.en_id""")
 def cer_train_set(spark, sf):
-    out = L.with_truth(B.found(spark, sf), _truth(spark, sf), C.commonness(B.surface_forms(spark, sf)))
+    found = B.found(spark, sf)
+    out = L.with_truth(found, _truth(spark, sf, found), C.commonness(B.surface_forms(spark, sf)))
     return out.withColumn("commonness", F.round("commonness", 9))
 
 
 @query(f"{_TRUTH} SELECT q_id, mention, en_id, CASE WHEN EXISTS (SELECT 1 FROM tr WHERE tr.q_id = cand.q_id AND tr.en_id = cand.en_id) THEN '1' ELSE '0' END AS target FROM cand")
 def cer_cv_set(spark, sf):
-    return L.labelled(B.found(spark, sf), _truth(spark, sf)).select("q_id", "mention", "en_id", "target")
+    found = B.found(spark, sf)
+    return L.labelled(found, _truth(spark, sf, found)).select("q_id", "mention", "en_id", "target")
 
 
 _ISF = f"""{_LEVELS}, tk AS (SELECT q_id, mention, en_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, mention, en_id) AS rank FROM t),
@@ -277,13 +281,14 @@ SELECT sk.q_id, sk.key, CASE WHEN gold.key IS NULL THEN '0' ELSE '1' END AS targ
 
 def _set_keys(spark, sf):
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "mention", "en_id")
-    ranked = _few(spark, sf).withColumn("rank", F.row_number().over(w)).select("q_id", "mention", "en_id", "rank")
-    return _members(spark, sf).join(ranked, ["q_id", "mention", "en_id"]).groupBy("q_id", "ms", "es").agg(L.set_key().alias("key"), F.max("rank").alias("worst")).select("q_id", "key", "worst")
+    few = _few(spark, sf)
+    ranked = few.withColumn("rank", F.row_number().over(w)).select("q_id", "mention", "en_id", "rank")
+    return _members(spark, sf, few).join(ranked, ["q_id", "mention", "en_id"]).groupBy("q_id", "ms", "es").agg(L.set_key().alias("key"), F.max("rank").alias("worst")).select("q_id", "key", "worst")
 
 
 @query(_ISF)
 def isf_train_labels(spark, sf):
-    keys = _set_keys(spark, sf)
+    keys = shared_table(spark, _set_keys(spark, sf), "set-keys")
     gold = keys.where(F.contains("key", F.lit("|"))).groupBy("q_id").agg(F.min("key").alias("key"))
     return L.training_sets(keys, gold, 3).select("q_id", "key", "target")
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.functions.text import query_content
-from quillspark.operators.candidates import candidates
+from quillspark.operators.candidates import candidates, commonness
+from quillspark.sources.tables import shared_table
 
 
 def link_stream(queries: DataFrame, surface_forms: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, threshold: float = 0.1, kb: DataFrame | None = None) -> StreamingQuery:
@@ -18,8 +19,10 @@ def link_stream(queries: DataFrame, surface_forms: DataFrame, sink: Callable[[Da
     what it has of a number gives each result once.
     """
 
+    common = shared_table(surface_forms.sparkSession, commonness(surface_forms), "commonness")
+
     def batch(df: DataFrame, number: int) -> None:
         cleaned = df.select("q_id", query_content(df["text"]).alias("q_content"))
-        sink(candidates(cleaned, surface_forms, threshold, kb), number)
+        sink(candidates(cleaned, surface_forms, threshold, kb, common), number)
 
     return queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
