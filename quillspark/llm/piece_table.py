@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .pretokens import PieceCache
+from .pretokens import Library
 
 #: Bytes of a chunk: what is hashed at once.
 CHUNK = 1 << 18
@@ -52,13 +52,34 @@ def doubtful(raw: np.ndarray) -> np.ndarray:
     return at[bad | (one == 0xE3) & (two == 0x80) & (three == 0x80)]
 
 
+def cut(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of texts that lie end to end.
+
+    A piece begins where a text does, at a blank after a non-blank, and at a full stop or
+    comma after an ASCII letter that ends a word.
+    """
+    blank = _BLANK[raw]
+    begins = np.zeros(len(raw) + 1, dtype=bool)
+    begins[1:-1] = blank[1:] & ~blank[:-1]
+    begins[offsets] = True
+    ends_word = np.ones(len(raw), dtype=bool)
+    ends_word[:-1] = begins[1:-1]
+    mark = np.flatnonzero(_MARK[raw] & ends_word)
+    mark = mark[(mark > 0) & ~begins[mark]]
+    begins[mark[_LETTER[raw[mark - 1]]]] = True
+    edges = np.flatnonzero(begins)
+    return edges[:-1], edges[1:]
+
+
 class PieceTable:
-    def __init__(self, path: str, slot_bits: int = SLOT_BITS):
-        self.library = PieceCache(path, as_ids=True)
+    def __init__(self, path: str, slot_bits: int = SLOT_BITS, frequent: tuple[list[bytes], list[bytes]] = ((), ())):
+        self.library = Library(path)
         self.dtype = self.library.dtype
         self.bits = slot_bits
         self.forward, self.backward = _powers(_BASE), _powers(_INVERSE)
+        self.frequent = frequent
         self.clear()
+        self.seed(*frequent)
 
     def clear(self) -> None:
         n = 1 << self.bits
@@ -112,6 +133,23 @@ class PieceTable:
             open_ = open_[~mine]
             slot[open_] = (slot[open_] + 1) & mask
 
+    def seed(self, pieces: list[bytes], values: list[bytes]) -> None:
+        """Adds pieces whose ids are known."""
+        if not pieces:
+            return
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        stops = np.cumsum([len(p) for p in pieces])
+        at = 0
+        while at < len(pieces):  # in chunks, as a hash needs the powers of its places
+            start = int(stops[at] - len(pieces[at]))
+            end = max(at + 1, int(np.searchsorted(stops, start + CHUNK, side="right")))
+            if stops[end - 1] - start <= CHUNK:
+                sizes = np.array([len(p) for p in pieces[at:end]])
+                h, heads, sizes = self.hashes(raw[start : stops[end - 1]], np.cumsum(sizes) - sizes, np.cumsum(sizes))
+                _, one = np.unique(h, return_index=True)
+                self.add(h[one], heads[one], sizes[one], [values[at + i] for i in one.tolist()])
+            at = end
+
     def values(self, pieces: list[bytes]) -> list[bytes]:
         """The library's ids of pieces: plain ones many at a time, the rest one by one."""
         library, out = self.library, [b""] * len(pieces)
@@ -134,14 +172,14 @@ class PieceTable:
         n = len(column)
         if not n:
             return []
+        if not self.library.cuts:
+            return self.library.encoded([t or "" for t in column.to_pylist()])
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
         data = column.buffers()[2]
         raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
         offsets -= offsets[0]
         out: list[bytes] = [b""] * n
         whole = np.zeros(n, dtype=bool)
-        if not self.library.cuts:
-            whole[:] = True
         whole[np.searchsorted(offsets, doubtful(raw), side="right") - 1] = True
         everything = raw.tobytes()
         for s in self.library.specials:
@@ -150,18 +188,8 @@ class PieceTable:
                 whole[np.searchsorted(offsets, k, side="right") - 1] = True
         if self.filled > 0.7 * (1 << self.bits):
             self.clear()
-        # A piece begins where a text does, at a blank after a non-blank, and at a mark that ends a word.
-        blank = _BLANK[raw]
-        begins = np.zeros(len(raw) + 1, dtype=bool)
-        begins[1:-1] = blank[1:] & ~blank[:-1]
-        begins[offsets] = True
-        ends_word = np.ones(len(raw), dtype=bool)
-        ends_word[:-1] = begins[1:-1]
-        mark = np.flatnonzero(_MARK[raw] & ends_word)
-        mark = mark[(mark > 0) & ~begins[mark]]
-        begins[mark[_LETTER[raw[mark - 1]]]] = True
-        edges = np.flatnonzero(begins)
-        starts, stops = edges[:-1], edges[1:]
+            self.seed(*self.frequent)
+        starts, stops = cut(raw, offsets)
         ids, counts = self._lookup(raw, everything, starts, stops)
         # Tokens before each piece, and so before each text.
         before = np.append(0, np.cumsum(counts))
@@ -190,10 +218,8 @@ class PieceTable:
             at = end
         return (np.concatenate(parts), np.concatenate(counts)) if parts else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
 
-    def _chunk(self, raw, everything: bytes, starts, stops):
-        first, last = int(starts[0]), int(stops[-1])
-        part = raw[first:last]
-        a, b = starts - first, stops - first
+    def hashes(self, part, a, b):
+        """Hash, first eight bytes and size of the pieces part[a:b]."""
         sizes = (b - a).astype(np.int32)
         with np.errstate(over="ignore"):
             sums = np.zeros(len(part) + 1, dtype=np.uint64)
@@ -207,7 +233,11 @@ class PieceTable:
         padded[: len(part)] = part
         words = np.ndarray((len(part) + 1,), dtype="<u8", buffer=padded, strides=(1,))
         shift = (np.uint64(8) * (np.uint64(8) - np.minimum(sizes, 8).astype(np.uint64))).astype(np.uint64)
-        heads = words[a] << shift
+        return h, words[a] << shift, sizes
+
+    def _chunk(self, raw, everything: bytes, starts, stops):
+        first, last = int(starts[0]), int(stops[-1])
+        h, heads, sizes = self.hashes(raw[first:last], starts - first, stops - first)
         slots = self.find(h, heads, sizes)
         missing = np.flatnonzero(slots == -1)
         if len(missing):
@@ -241,9 +271,10 @@ def release_table() -> None:
     _WORKER.clear()
 
 
-def worker_table(path: str) -> PieceTable:
-    """This worker's table, kept from task to task."""
-    if path not in _WORKER:
+def worker_table(path: str, frequent=None, run: str = "") -> PieceTable:
+    """This worker's table, kept from task to task. frequent: broadcast pieces and their ids, named by run, or None."""
+    key = path, run
+    if key not in _WORKER:
         _WORKER.clear()
-        _WORKER[path] = PieceTable(path)
-    return _WORKER[path]
+        _WORKER[key] = PieceTable(path, frequent=frequent.value if frequent is not None else ((), ()))
+    return _WORKER[key]

@@ -1,157 +1,62 @@
-"""Whole-text token ids of a byte-level BPE through caches of blank-led pre-tokens.
-
-A byte-level BPE never merges across the borders that its pattern sets, and the pattern
-always sets one between a non-blank and a blank that follows it. So a text may be cut
-before each space or newline that follows a non-blank and precedes one; each piece,
-encoded by the tokenizers library with its leading blank, gives the ids it gives inside
-the text. Texts with other blanks, runs of blanks or an added token's string are encoded
-whole by the library instead. Ids are therefore always the library's.
-"""
+"""The tokenizers library on pieces of texts: many short ones in one call, or any text whole."""
 
 from __future__ import annotations
 
 import json
 import os
-from itertools import islice
 
 import numpy as np
 
-#: Entries of each of a worker's two generations: when the newer is full it becomes the older.
-CACHE_ENTRIES = 450_000
-
 
 def id_type(vocabulary: int) -> str:
     """The little-endian type of ids of a vocabulary."""
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def pieces_of(text: str, specials: tuple[str, ...]) -> list[str] | None:
-    """Pieces whose ids joined are the text's, or None if it has to be encoded whole.
-
-    Every piece but the first stands for itself with a space before it, or, if it
-    begins with a newline, for just itself. The first stands for itself in either case.
-    """
-    for s in specials:
-        if s in text:
-            return None
-    cut = text.replace("\n", " \n").split(" ")
-    inner = cut[1:-1]
-    if "" in inner or "\n" in inner or "\u180e" in text:
-        return None
-    words = text.split()
-    if not words or len("".join(words)) + text.count(" ") + text.count("\n") != len(text):
-        return None  # only these two blanks, whatever else Unicode counts as one
-    return cut
-
-
-class PieceCache:
-    """Encodes batches of texts and keeps the values of their pieces."""
+class Library:
+    """A tokenizer file. cuts: whether its ids may be found piece by piece (plain byte-level BPE)."""
 
-    def __init__(self, path: str, frequent: dict | None = None, as_ids: bool = False):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        pre = spec.get("pre_tokenizer") or {}
-        self.cuts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.cuts = self.cuts and spec.get("truncation") is None and spec.get("padding") is None and spec["model"].get("dropout") is None
-        self.specials = tuple(t["content"] for t in spec.get("added_tokens") or ())
-        if any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens") or ()):
-            self.cuts = False
-        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.newline = newline[0] if len(newline) == 1 else -1
-        self.cuts = self.cuts and self.newline >= 0
-        self.as_ids = as_ids
         self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.width = np.dtype(self.dtype).itemsize
-        self.frequent = dict(frequent or {})
-        self.cache: dict = dict(self.frequent)
-        self.older: dict = {}
-
-    def encoded(self, texts: list[str]) -> list:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        if self.as_ids:
-            return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in got]
-        return [len(e) for e in got]
-
-    def pieces(self, keys: list[str]) -> list:
-        """Values of pieces. They are encoded many at a time, a newline between any two.
-
-        A newline between non-blanks, or before one space, is a token of its own, which
-        no piece has but as its first character.
+        pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or ()
+        self.specials = tuple(t["content"] for t in added)
+        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline = newline[0] if len(newline) == 1 else -1
+        self.cuts = (
+            pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and self.newline >= 0
+            and not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and spec["model"].get("dropout") is None
+            and not any(t.get(k) for t in added for k in ("normalized", "lstrip", "rstrip", "single_word"))
+        )
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts as bytes of dtype, added tokens' strings as the library takes them by default."""
+        return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, keys: list[str]) -> list[bytes]:
+        """Ids of pieces: 'x' stands for a space and x, '\\nx' for itself; x has no blank.
+
+        They are encoded many at a time, a newline between any two. A newline between
+        non-blanks, or before one space, is a token of its own, which no piece has but as
+        its first character.
         """
-        out: list = []
-        at = 0
-        while at < len(keys):
+        out: list[bytes] = []
+        w, first = self.width, np.array(self.newline, dtype=self.dtype).tobytes()
+        for at in range(0, len(keys), 512):
             part = keys[at : at + 512]
-            at += 512
             bare = [p[:1] == "\n" for p in part]
             joined = "\n".join([p[1:] if b else " " + p for p, b in zip(part, bare, strict=True)])
             ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
             ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
             starts = np.append(0, ends[:-1] + 1)
-            assert len(ends) == len(part)
-            if self.as_ids:
-                raw, first, w = ids.tobytes(), np.array(self.newline, dtype=self.dtype).tobytes(), self.width
-                out += [(first + raw[a:b]) if n else raw[a:b] for a, b, n in zip((w * starts).tolist(), (w * ends).tolist(), bare, strict=True)]
-            else:
-                out += (ends - starts + np.asarray(bare)).tolist()
-        return out
-
-    def batch(self, texts: list[str | None]) -> list:
-        """For each text the bytes of its ids (as_ids) or their number; null is the empty text."""
-        out: list = [None] * len(texts)
-        cut: list = [None] * len(texts)
-        whole: list[int] = []
-        seen: set[str] = set()
-        heads: dict[int, str] = {}
-        starts: list[int] = []
-        for i, text in enumerate(texts):
-            got = pieces_of(text, self.specials) if text and self.cuts else None
-            if got is None:
-                whole.append(i)
-                continue
-            cut[i] = got
-            starts.append(i)
-            if got[0]:
-                heads[i] = "\n" + got[0]
-            seen.update(islice(got, 1, None))
-        seen.update(heads.values())
-        missing = list(seen.difference(self.cache))
-        if missing:
-            if len(self.cache) + len(missing) > CACHE_ENTRIES + len(self.frequent):
-                self.older, self.cache = self.cache, dict(self.frequent)
-                missing = list(seen.difference(self.cache))
-            if self.older:
-                again = [p for p in missing if p in self.older]
-                self.cache.update(zip(again, map(self.older.__getitem__, again), strict=True))
-                missing = list(seen.difference(self.cache))
-            odd = {"", "\n"}.intersection(missing)  # a blank at a text's end
-            self.cache.update(zip(odd, self.encoded([p or " " for p in odd]), strict=True))
-            missing = [p for p in missing if p not in odd]
-            self.cache.update(zip(missing, self.pieces(missing), strict=True))
-        get = self.cache.__getitem__
-        for i in starts:
-            rest = map(get, islice(cut[i], 1, None))
-            head = get(heads[i]) if i in heads else None  # a first piece is known as the one after a newline
-            if self.as_ids:
-                out[i] = (head[self.width :] if head else b"") + b"".join(rest)
-            else:
-                out[i] = (head - 1 if head else 0) + sum(rest)
-        for i, v in zip(whole, self.encoded([texts[i] or "" for i in whole]), strict=True):
-            out[i] = v
+            if len(ends) != len(part):
+                raise AssertionError("a piece has a newline inside")
+            raw = ids.tobytes()
+            out += [(first + raw[a:b]) if n else raw[a:b] for a, b, n in zip((w * starts).tolist(), (w * ends).tolist(), bare, strict=True)]
         return out
-
-
-_WORKER: dict = {}
-
-
-def worker_cache(path: str, frequent=None, as_ids: bool = False, run: str = "") -> PieceCache:
-    """This worker's cache, kept from task to task. frequent: a broadcast dict, named by run, or None."""
-    key = (path, as_ids, run)
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = PieceCache(path, frequent.value if frequent is not None else None, as_ids)
-    return _WORKER[key]

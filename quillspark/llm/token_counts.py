@@ -1,8 +1,9 @@
 """Token counts by a map-side two-tier lookup; no pre-token is shuffled.
 
-Tier one is a broadcast table of the lengths of frequent pre-tokens, of at most
-``frequent`` entries. It is drawn from a bounded sample of short rows and only saves
-time: misses are encoded by the library and kept in tier two, each worker's own cache.
+Tier one is a broadcast table of frequent pre-tokens and their ids, of at most
+``frequent`` entries, drawn from a bounded sample of short rows; it only saves time. It
+seeds each worker's hash table; what is not there is encoded by the library and kept in
+that table, which is tier two.
 """
 
 from __future__ import annotations
@@ -10,24 +11,29 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import PieceCache, pieces_of, worker_cache
+from .piece_table import PieceTable, cut, doubtful, worker_table
 from .shared import ship, slices
 
 
-def frequent_lengths(docs: DataFrame, text_col: str, path: str, frequent: int = 65_536, sample_rows: int = 2_048, sample_bytes: int = 16_384) -> dict[str, int]:
-    """At most ``frequent`` pre-tokens of at most sample_rows texts of at most sample_bytes bytes each."""
-    cache = PieceCache(path)
-    short = docs.where(F.octet_length(f"`{text_col}`") <= sample_bytes).select(F.col(f"`{text_col}`"))
+def frequent_pieces(docs: DataFrame, text_col: str, path: str, frequent: int = 65_536, sample_rows: int = 2_048, sample_bytes: int = 16_384) -> tuple[list[bytes], list[bytes]]:
+    """At most ``frequent`` pre-tokens of at most sample_rows texts of at most sample_bytes bytes each, and their ids."""
+    table = PieceTable(path, 12)
+    if not table.library.cuts:
+        return [], []
+    short = docs.where(F.octet_length(f"`{text_col}`") <= sample_bytes).select(F.col(f"`{text_col}`").cast("binary"))
     share = min(1.0, 8 * sample_rows / max(1, docs.count()))
     counts: Counter = Counter()
     for (text,) in short.sample(share, seed=1).limit(sample_rows).collect():
-        counts.update((pieces_of(text, cache.specials) or ())[1:] if cache.cuts else ())
-    common = [p for p, _ in counts.most_common(frequent) if p.strip()]
-    return dict(zip(common, cache.pieces(common), strict=True))
+        raw = np.frombuffer(bytes(text), np.uint8)
+        if len(raw) and not len(doubtful(raw)):
+            counts.update([bytes(text[a:b]) for a, b in zip(*[x.tolist() for x in cut(raw, np.array([0, len(raw)]))], strict=True)])
+    common = [p for p, _ in counts.most_common(frequent)]
+    return common, table.values(common)
 
 
 def count_tokens(docs: DataFrame, path: str, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", limit: int = 1024, frequent: int = 65_536) -> DataFrame:
@@ -45,19 +51,20 @@ def count_tokens(docs: DataFrame, path: str, id_cols: tuple[str, ...] = ("doc_id
     if path.endswith(".model"):
         shared = None
     else:
-        shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, text_col, path, frequent))
+        shared = docs.sparkSession.sparkContext.broadcast(frequent_pieces(docs, text_col, path, frequent))
 
     def lengths(batches):
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            count = lambda texts: [len(x) for x in model.encode([t or "" for t in texts], num_threads=1)]
+            count = lambda column: [len(x) for x in model.encode([t or "" for t in column.to_pylist()], num_threads=1)]
         else:
-            count = worker_cache(path, shared, run=run).batch
+            table = worker_table(path, shared, run)
+            count = lambda column: [len(x) // table.library.width for x in table.encode(column)]
         for batch in batches:
             for part in slices(batch, "_text"):
-                n = count(part.column(part.num_columns - 1).to_pylist())
+                n = count(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64())], names=[*part.schema.names[:-1], "_n"])
 
     schema = ", ".join([f"_k{i} {rows.schema[f'_k{i}'].dataType.simpleString()}" for i in range(len(id_cols))] + ["_bytes long", "_n long"])

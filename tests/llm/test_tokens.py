@@ -9,7 +9,6 @@ import pytest
 from tokenizers import Tokenizer
 
 from quillspark.llm import piece_table, rans
-from quillspark.llm.pretokens import PieceCache
 from quillspark.llm.shared import new_path
 from quillspark.llm.token_counts import count_tokens, op6_token_counts
 from quillspark.llm.token_files import op1_token_files, read_token_files, write_token_files
@@ -22,17 +21,6 @@ def library(texts):
     return [e.ids for e in Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
-def test_piece_cache_gives_the_librarys_ids():
-    rng = np.random.default_rng(5)
-    parts = [" ", "  ", "\n", "\n\n", "\t", "a", "The", "'s", "1", "é", " ", "　", ".", "!?", "᠎", "<|endoftext|>", "世", "\x1c", "\x85", "\r\n"]
-    texts = ODD + ["".join(rng.choice(parts, rng.integers(0, 9))) for _ in range(3000)]
-    for as_ids in (False, True):
-        cache = PieceCache(PATH, as_ids=as_ids)
-        got = cache.batch(texts)
-        for text, mine, ids in zip(texts, got, library(texts), strict=True):
-            assert (np.frombuffer(mine, "<u2").tolist() if as_ids else mine) == (ids if as_ids else len(ids)), text
-
-
 @pytest.mark.parametrize("slot_bits", [8, 16])
 def test_piece_table_gives_the_librarys_ids(slot_bits, monkeypatch):
     rng = np.random.default_rng(6)
