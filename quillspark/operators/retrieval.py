@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import analysed, words
+from quillspark.functions.text import ANALYSER_STOP_WORDS, analysed, words
 from quillspark.sources.tables import shared_table
 
 
@@ -40,7 +40,10 @@ def build_index(values: DataFrame, stop: list[str] | None = None) -> Index:
     Texts are read and analysed once: postings are written to the shared folder, and the
     other tables are sums over them.
     """
-    tokens = values.select("doc_id", "field", F.explode(analysed(F.col("value"), stop)).alias("term"))
+    stop = ANALYSER_STOP_WORDS if stop is None else stop
+    # What analysed() gives, but filtered as rows, in generated code.
+    tokens = values.select("doc_id", "field", F.explode(F.split(F.lower("value"), r"[^\p{L}\p{N}]+")).alias("term")).where("term != ''")
+    tokens = tokens.where(~F.col("term").isin(stop)) if stop else tokens
     postings = shared_table(values.sparkSession, tokens.groupBy("doc_id", "field", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     spark = values.sparkSession
     lengths = shared_table(spark, postings.groupBy("doc_id", "field").agg(F.sum("tf").alias("len")), "lengths")
