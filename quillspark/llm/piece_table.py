@@ -19,8 +19,10 @@ from .pretokens import Library
 
 #: Bytes of a chunk: what is hashed at once.
 CHUNK = 1 << 18
-#: Slots of a worker's table, as a power of two (26 bytes each).
+#: Slots of a worker's table, as a power of two (28 bytes each).
 SLOT_BITS = 21
+#: Bytes above which a piece is encoded each time and not kept, as such hardly repeat and would fill the pool.
+LONG = 1 << 12
 
 _rng = np.random.default_rng(987_654_321)
 _COEFFICIENT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,7 +89,7 @@ class PieceTable:
         self.heads = np.zeros(n, dtype=np.uint64)
         self.sizes = np.zeros(n, dtype=np.int32)
         self.at = np.zeros(n, dtype=np.int32)
-        self.count = np.zeros(n, dtype=np.int16)
+        self.count = np.zeros(n, dtype=np.int32)
         self.pool = np.zeros(1 << 16, dtype=self.dtype)
         self.filled = self.used = 0
 
@@ -239,6 +241,7 @@ class PieceTable:
         first, last = int(starts[0]), int(stops[-1])
         h, heads, sizes = self.hashes(raw[first:last], starts - first, stops - first)
         slots = self.find(h, heads, sizes)
+        slots[sizes > LONG] = -2
         missing = np.flatnonzero(slots == -1)
         if len(missing):
             _, index = np.unique(h[missing], return_index=True)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import zlib
 
 import numpy as np
@@ -34,6 +35,32 @@ def test_piece_table_gives_the_librarys_ids(slot_bits, monkeypatch):
             assert np.frombuffer(mine, "<u2").tolist() == ids, text
 
 
+def long_runs():
+    """Texts with a run without blanks of 40,000, 65,000 and 100,000 tokens and more."""
+    rng = np.random.default_rng(3)
+    runs = [base64.b64encode(rng.bytes(n)).decode() for n in (39_000, 105_000)]
+    return [f"before {r} after {r[:3_000]} {r[:9_000]}, end" for r in [*runs, "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 24_000)))]]
+
+
+def test_piece_table_long_runs_without_blanks():
+    texts = long_runs()
+    expected = library(texts)
+    assert sorted(len(ids) > 40_000 for ids in expected) == [True] * 3 and max(map(len, expected)) > 100_000
+    table = piece_table.PieceTable(PATH, 12)
+    for _ in range(2):  # the second time with what is kept
+        for mine, ids in zip(table.encode(pa.array(texts)), expected, strict=True):
+            assert np.frombuffer(mine, "<u2").tolist() == ids
+    seeded = piece_table.PieceTable(PATH, 12, ([b" " + texts[0].split()[1].encode()], [table.values([b" " + texts[0].split()[1].encode()])[0]]))
+    assert np.frombuffer(seeded.encode(pa.array(texts[:1]))[0], "<u2").tolist() == expected[0]
+
+
+def test_long_runs_in_token_files_and_counts(spark):
+    texts = list(enumerate(long_runs()))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    check_digest(read_token_files(spark, write_token_files(df, new_path(spark, "t"), PATH)).orderBy("doc_id").collect(), texts)
+    assert [r.n_tokens for r in count_tokens(df, PATH).orderBy("doc_id").collect()] == [len(x) for x in library([t for _, t in texts])]
+
+
 def test_rans_round_trip_and_checksums():
     ids = (np.random.default_rng(1).zipf(1.3, 40_000) % 5_000).astype(np.uint32)
     table = rans.Table.scaled(*np.unique(ids, return_counts=True))
