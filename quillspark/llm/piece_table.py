@@ -7,7 +7,8 @@ its text. All pieces of a chunk are hashed at once (a prefix sum of a polynomial
 random coefficients) and looked up in an open-addressing table, which checks their length
 and first eight bytes too. What is not found is encoded by the tokenizers library and
 added. Texts with blanks whose class is in doubt, or an added token's string, are encoded
-whole by the library. The table is of fixed size; when it is seven tenths full it starts afresh.
+whole by the library. The table is of fixed size; it starts afresh when the new pieces of
+a chunk might fill it beyond seven tenths. What has no room even then is encoded and not kept.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ CHUNK = 1 << 18
 SLOT_BITS = 21
 #: Bytes above which a piece is encoded each time and not kept, as such hardly repeat and would fill the pool.
 LONG = 1 << 12
+#: Ids kept from which a table starts afresh.
+POOL_IDS = 1 << 25
 
 _rng = np.random.default_rng(987_654_321)
 _COEFFICIENT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,6 +81,7 @@ class PieceTable:
         self.library = Library(path)
         self.dtype = self.library.dtype
         self.bits = slot_bits
+        self.most = (7 << slot_bits) // 10  # pieces kept, so that a search always meets an empty slot
         self.forward, self.backward = _powers(_BASE), _powers(_INVERSE)
         self.frequent = frequent
         self.clear()
@@ -112,7 +116,9 @@ class PieceTable:
         return out
 
     def add(self, h, heads, sizes, values: list[bytes]) -> None:
-        """Distinct new hashes."""
+        """Distinct new hashes, for which there is room."""
+        if not values:
+            return
         w = self.library.width
         counts = np.array([len(v) // w for v in values], dtype=np.int64)
         ids = np.frombuffer(b"".join(values), self.dtype)
@@ -135,8 +141,13 @@ class PieceTable:
             open_ = open_[~mine]
             slot[open_] = (slot[open_] + 1) & mask
 
+    def new(self, h: np.ndarray, missing: np.ndarray) -> np.ndarray:
+        """One place of each missing hash, as many as there is room for."""
+        _, index = np.unique(h[missing], return_index=True)
+        return missing[index[: max(0, self.most - self.filled)]]
+
     def seed(self, pieces: list[bytes], values: list[bytes]) -> None:
-        """Adds pieces whose ids are known."""
+        """Adds pieces whose ids are known, as far as there is room."""
         if not pieces:
             return
         raw = np.frombuffer(b"".join(pieces), np.uint8)
@@ -148,7 +159,7 @@ class PieceTable:
             if stops[end - 1] - start <= CHUNK:
                 sizes = np.array([len(p) for p in pieces[at:end]])
                 h, heads, sizes = self.hashes(raw[start : stops[end - 1]], np.cumsum(sizes) - sizes, np.cumsum(sizes))
-                _, one = np.unique(h, return_index=True)
+                one = self.new(h, np.arange(len(h)))
                 self.add(h[one], heads[one], sizes[one], [values[at + i] for i in one.tolist()])
             at = end
 
@@ -188,9 +199,6 @@ class PieceTable:
             mark, k = s.encode("utf-8"), -1
             while (k := everything.find(mark, k + 1)) >= 0:
                 whole[np.searchsorted(offsets, k, side="right") - 1] = True
-        if self.filled > 0.7 * (1 << self.bits):
-            self.clear()
-            self.seed(*self.frequent)
         starts, stops = cut(raw, offsets)
         ids, counts = self._lookup(raw, everything, starts, stops)
         # Tokens before each piece, and so before each text.
@@ -237,15 +245,22 @@ class PieceTable:
         shift = (np.uint64(8) * (np.uint64(8) - np.minimum(sizes, 8).astype(np.uint64))).astype(np.uint64)
         return h, words[a] << shift, sizes
 
+    def _search(self, h, heads, sizes):
+        """Slots of pieces, and which of them may be added."""
+        slots = self.find(h, heads, sizes)
+        slots[sizes > LONG] = -2
+        return slots, np.flatnonzero(slots == -1)
+
     def _chunk(self, raw, everything: bytes, starts, stops):
         first, last = int(starts[0]), int(stops[-1])
         h, heads, sizes = self.hashes(raw[first:last], starts - first, stops - first)
-        slots = self.find(h, heads, sizes)
-        slots[sizes > LONG] = -2
-        missing = np.flatnonzero(slots == -1)
+        slots, missing = self._search(h, heads, sizes)
+        if len(missing) and (self.used > POOL_IDS or self.filled + len(missing) > self.most):
+            self.clear()
+            self.seed(*self.frequent)
+            slots, missing = self._search(h, heads, sizes)
         if len(missing):
-            _, index = np.unique(h[missing], return_index=True)
-            new = missing[index]
+            new = self.new(h, missing)
             self.add(h[new], heads[new], sizes[new], self.values([everything[s:e] for s, e in zip(starts[new].tolist(), stops[new].tolist(), strict=True)]))
             slots[missing] = self.find(h[missing], heads[missing], sizes[missing])
         count = self.count[slots].astype(np.int64)

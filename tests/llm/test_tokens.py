@@ -61,6 +61,31 @@ def test_long_runs_in_token_files_and_counts(spark):
     assert [r.n_tokens for r in count_tokens(df, PATH).orderBy("doc_id").collect()] == [len(x) for x in library([t for _, t in texts])]
 
 
+@pytest.mark.parametrize("slot_bits", [6, 10, 12])
+def test_piece_table_with_more_pieces_than_slots(slot_bits):
+    n = 1 << slot_bits
+    start = " ".join(map(str, range(n * 69 // 100)))  # just under the limit
+    texts = [start, " ".join(map(str, range(10_000, 10_000 + 3 * n))), " ".join(map(str, range(20_000, 20_000 + n))), start, "1 2 3 ab"]
+    expected = library(texts)
+    pieces = [f" {i}".encode() for i in range(30_000, 30_000 + 2 * n)]
+    plain = piece_table.PieceTable(PATH, 16)
+    for table in (piece_table.PieceTable(PATH, slot_bits), piece_table.PieceTable(PATH, slot_bits, (pieces, plain.values(pieces)))):
+        for columns in ([[t] for t in texts], [texts], [texts[1:], texts]):
+            for column in columns:
+                for mine, text in zip(table.encode(pa.array(column)), column, strict=True):
+                    assert np.frombuffer(mine, "<u2").tolist() == expected[texts.index(text)]
+                assert table.filled < n
+
+
+def test_piece_table_starts_afresh_with_a_full_pool(monkeypatch):
+    monkeypatch.setattr(piece_table, "POOL_IDS", 100)
+    table = piece_table.PieceTable(PATH, 16)
+    for k in range(5):
+        text = " ".join(map(str, range(k * 1_000, k * 1_000 + 400)))
+        assert np.frombuffer(table.encode(pa.array([text]))[0], "<u2").tolist() == library([text])[0]
+        assert table.filled <= 400
+
+
 def test_rans_round_trip_and_checksums():
     ids = (np.random.default_rng(1).zipf(1.3, 40_000) % 5_000).astype(np.uint32)
     table = rans.Table.scaled(*np.unique(ids, return_counts=True))
