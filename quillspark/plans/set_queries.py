@@ -181,7 +181,7 @@ def mention_overlap(spark, sf):
 @query(None)
 def set_instances(spark, sf):
     """Top-5 instances, normalised, and their sets with member attributes; compared with brute force in tests."""
-    out = D.set_instances(_best(spark, sf), 5, 3)
+    out = D.set_instances(B.instances(spark, sf), 5)
     return out.select("q_id", "set_key", "mention", "en_id", "fb_id", F.round("score", 6).alias("score"), "rank", "commonness")
 
 

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import itertools
 import math
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quillspark.plans import bindings as B
 from quillspark.plans import set_queries
 from quillspark.plans.registry import ORACLES, QUERIES
 
@@ -55,3 +57,27 @@ def test_sets_without_sql(spark, sf):
     rows = QUERIES["greedy_interpretations"](spark, sf).collect()
     assert rows and all(r.target == "1" and r.ens for r in rows)
     assert QUERIES["set_instances"](spark, sf).where("score < 0 OR score > 1 OR rank > 5").count() == 0
+
+
+def test_set_instances_against_brute_force(spark, sf):
+    """All instances are normalised; all sets of those of the best five ranks."""
+    held, got, expected = {}, {}, set()
+    for r in B.instances(spark, sf).collect():
+        held.setdefault(r.q_id, []).append((-r.score, r.mention, r.en_id, r.fb_id))
+    for r in QUERIES["set_instances"](spark, sf).collect():
+        low, high = -max(held[r.q_id])[0], -min(held[r.q_id])[0]
+        score = next(-x[0] for x in held[r.q_id] if x[1:3] == (r.mention, r.en_id))
+        assert math.isclose(r.score, (score - low) / (high - low) if high > low else 0.5, abs_tol=1e-6)
+        got.setdefault((r.q_id, r.set_key), set()).add((r.mention, r.en_id))
+    for q, rows in held.items():
+        best, seen = [], set()
+        for _, mention, en_id, fb_id in sorted(rows):
+            seen.add(fb_id)
+            if len(seen) <= 5:
+                best.append((mention, en_id))
+        for n in range(1, len(best) + 1):
+            for some in itertools.combinations(best, n):
+                every = [w for m, _ in some for w in set(m.split())]
+                if len(every) == len(set(every)) and len({e for _, e in some}) == n:
+                    expected.add((q, frozenset(some)))
+    assert {(q, frozenset(m)) for (q, _), m in got.items()} == expected
