@@ -107,7 +107,7 @@ def tfidf_first_pass(spark, sf):
 JOIN (SELECT q_id, doc_id FROM (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 6) DESC, doc_id) AS rn FROM ({_TFIDF})) WHERE rn <= 200) f ON f.q_id = s.q_id AND f.doc_id = s.doc_id"""))
 def two_pass_retrieval(spark, sf):
     n = B.table(spark, sf, "documents").count()
-    return S.two_pass(B.index(spark, sf), B.retrieval_queries(spark, sf), n, B.WEIGHTS, first=200).select("q_id", "doc_id", "rank", "score")
+    return S.two_pass(B.index(spark, sf), B.retrieval_queries(spark, sf), n, B.WEIGHTS).select("q_id", "doc_id", "rank", "score")
 
 
 _RQ = "SELECT q_id, array_to_string(w, ' ') AS c, w[1] AS m FROM rq"

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quillspark.operators.retrieval import score_mixture, score_tfidf
 from quillspark.plans import bindings as B
 from quillspark.plans import set_queries
 from quillspark.plans.registry import ORACLES, QUERIES
@@ -81,3 +82,17 @@ def test_set_instances_against_brute_force(spark, sf):
                 if len(every) == len(set(every)) and len({e for _, e in some}) == n:
                     expected.add((q, frozenset(some)))
     assert {(q, frozenset(m)) for (q, _), m in got.items()} == expected
+
+
+def test_two_pass_scores_all_matches_of_a_small_corpus(spark):
+    """Of 1,000 documents the first pass of 10,000 loses none, so the best by the mixture are the query's rows."""
+    sf = "/root/testdata/sf0.01"
+    index, queries = B.index(spark, sf), B.retrieval_queries(spark, sf)
+    found = score_tfidf(index, queries, B.table(spark, sf, "documents").count()).select("q_id", "doc_id")
+    best = {}
+    for r in score_mixture(index, queries, B.WEIGHTS).join(found, ["q_id", "doc_id"], "left_semi").collect():
+        best.setdefault(r.q_id, []).append((-round(r.score, 6), r.doc_id))
+    got = {}
+    for r in QUERIES["two_pass_retrieval"](spark, sf).collect():
+        got.setdefault(r.q_id, []).append((r.rank, -r.score))
+    assert {q: [s for s, _ in sorted(rows)[:100]] for q, rows in best.items()} == {q: [s for _, s in sorted(rows)] for q, rows in got.items()}
