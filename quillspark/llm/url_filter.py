@@ -1,8 +1,8 @@
 """URL rules, native: host-suffix and path-prefix expressions, joined on short hash prefixes.
 
-Each URL gives the product of its host's suffixes (at label borders) and its path's
-prefixes (at slashes). A rule is filed under its host and its path up to the last slash;
-the short prefix (32 bits of a 64-bit hash) is the equi-join key, the full SHA-256 digest
+Each URL gives its host's suffixes (at label borders) with its path's prefixes (at
+slashes), of those numbers of labels and folders that some rule has: others fit none. A
+rule is filed under its host and its path up to the last slash; the short prefix (32 bits of a 64-bit hash) is the equi-join key, the full SHA-256 digest
 and the rest of the rule's path confirm a match, and the longest rule wins. The rules are
 broadcast only after their bytes are counted against a bound; beyond it the join is
 shuffled, with the prefix salted, so that a host with a third of the rows is spread.
@@ -33,16 +33,25 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def labels_of(host: Column) -> Column:
+    return F.char_length(host) - F.char_length(F.replace(host, F.lit("."))) + 1
 
 
-def path_prefixes(path: Column) -> Column:
-    """'' and every prefix that ends with a slash."""
-    parts = F.split(path, "/", -1)
-    ends = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
-    return F.concat(F.array(F.lit("")), F.coalesce(ends, F.array().cast("array<string>")))
+def folders_of(path: Column) -> Column:
+    return F.char_length(path) - F.char_length(F.replace(path, F.lit("/")))
+
+
+def expressions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """Host suffix and path prefix for each shape (labels, folders) that host and path have, the prefix up to a slash.
+
+    One pass over the URL a shape, so the work grows with its length and not with a power of it.
+    """
+    if not shapes:
+        return F.array().cast("array<string>")
+    listed = F.array(*[F.struct(F.lit(n).alias("labels"), F.lit(f).alias("folders")) for n, f in shapes])
+    fitting = F.filter(listed, lambda s: (s["labels"] <= labels_of(host)) & (s["folders"] <= folders_of(path)))
+    folder = lambda n: F.when(n > 0, F.concat(F.call_function("substring_index", path, F.lit("/"), n), F.lit("/"))).otherwise(F.lit(""))
+    return F.transform(fitting, lambda s: F.concat(F.call_function("substring_index", host, F.lit("."), -s["labels"]), F.lit(" "), folder(s["folders"])))
 
 
 def short_prefix(expression: Column) -> Column:
@@ -57,24 +66,28 @@ def filter_urls(
     rules: host, path, verdict; a rule fits its host and all its subdomains, if the
     url's path starts with the rule's. The longest rule wins, of equal ones the smallest
     text; a rule given twice counts once, with the smaller verdict. Rules with a null are
-    left out. A url that is null or without '://' has an empty host and path, fits no rule
-    and gets the default. Repeated rows stay as often as they come; nulls in id_cols stay.
+    left out; both hosts are compared with A-Z lower-cased. A url that is null or without '://' has an empty host and path, fits no rule
+    and gets the default. Repeated rows stay as often as they come; nulls in id_cols stay. Urls of any
+    length are judged whole; only as many expressions as rules have depths are made of
+    one. Empty tables of urls or rules do no harm; columns of urls besides the ones named
+    are ignored, whatever their names.
     """
-    filed = rules.select(F.lower("host").alias("_rh"), F.col("path").alias("_rp"), F.col("verdict").alias("_rv")).where("_rh IS NOT NULL AND _rp IS NOT NULL AND _rv IS NOT NULL")
+    filed = rules.select(ascii_lower(F.col("host")).alias("_rh"), F.col("path").alias("_rp"), F.col("verdict").alias("_rv")).where("_rh IS NOT NULL AND _rp IS NOT NULL AND _rv IS NOT NULL")
     filed = filed.groupBy("_rh", "_rp").agg(F.min("_rv").alias("_rv"))
     folder = F.regexp_extract("_rp", r"(?s)^(.*/)?", 0)
     filed = filed.select(
-        F.concat("_rh", F.lit(" "), folder).alias("_e"), F.expr("substr(_rp, length(regexp_extract(_rp, '(?s)^(.*/)?', 0)) + 1)").alias("_rest"), F.concat("_rh", "_rp").alias("_rule"), "_rv", "_rp"
+        F.concat("_rh", F.lit(" "), folder).alias("_e"), F.expr("substr(_rp, length(regexp_extract(_rp, '(?s)^(.*/)?', 0)) + 1)").alias("_rest"), F.concat("_rh", "_rp").alias("_rule"), "_rv", "_rp", "_rh"
     )
-    filed = filed.select(short_prefix(F.col("_e")).alias("_short"), F.sha2("_e", 256).alias("_full"), "_rest", "_rule", "_rv", "_rp")
+    filed = filed.select(short_prefix(F.col("_e")).alias("_short"), F.sha2("_e", 256).alias("_full"), "_rest", "_rule", "_rv", "_rp", labels_of(F.col("_rh")).alias("_labels"), folders_of(F.col("_rp")).alias("_folders"))
+    shapes = sorted(tuple(r) for r in filed.select("_labels", "_folders").distinct().collect())  # a row a depth of rules
+    filed = filed.drop("_labels", "_folders")
     counted = filed.agg(F.sum(F.octet_length("_rule") + F.octet_length("_rest") + F.octet_length("_rp") + 128)).first()[0] or 0
 
     ids = [F.col(f"`{c}`").alias(f"_id{i}") for i, c in enumerate(id_cols)]
     keys = [f"_id{i}" for i in range(len(ids))] + ["_url"]
     asked = urls.select(*ids, F.col(f"`{url_col}`").alias("_url"))
-    expressions = F.flatten(F.transform(host_suffixes(F.col("_host")), lambda h: F.transform(path_prefixes(F.col("_path")), lambda p: F.concat(h, F.lit(" "), p))))
     split = asked.withColumns({"_host": host_of(F.col("_url")), "_path": path_of(F.col("_url"))}).where("_host != ''")
-    split = split.select(*keys, "_path", F.explode(expressions).alias("_expr")).withColumn("_short", short_prefix(F.col("_expr")))
+    split = split.select(*keys, "_path", F.explode(expressions(F.col("_host"), F.col("_path"), shapes)).alias("_expr")).withColumn("_short", short_prefix(F.col("_expr")))
     if counted <= broadcast_bytes:
         joined = split.join(F.broadcast(filed), "_short")
     else:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,17 @@ def test_line_dedup_stays_native(spark, sf):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_long_urls_and_other_alphabets(spark):
+    long = "x://" + "s." * 2_000 + "com" + "/d" * 2_000
+    rows = [(0, long), (1, "http://É.com/a"), (2, "http://x.É.COM/a"), (3, "http://é.com/a"), (4, "x://" + "a." * 30_000 + "net" + "/" * 30_000)]
+    rules = [("com", "/d/d/", "block"), ("É.com", "/", "deny"), ("s." * 1_999 + "com", "/d" * 1_000, "drop"), ("net", "/" * 20_000, "stop"), ("net", "/" * 40_000, "none")]
+    df = spark.createDataFrame(rows * 20, "page_id long, url string")
+    began = time.time()
+    got = {(r.page_id, r.verdict) for r in filter_urls(df, spark.createDataFrame(rules, "host string, path string, verdict string"), id_cols=("page_id",)).collect()}
+    assert got == {(0, "drop"), (1, "deny"), (2, "deny"), (3, "allow"), (4, "stop")}
+    assert time.time() - began < 30
+
+
 @pytest.mark.parametrize("broadcast", [32 << 20, 0])
 def test_urls_against_brute_force(spark, broadcast):
     rng = random.Random(9)
