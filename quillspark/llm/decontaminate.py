@@ -1,19 +1,24 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised questions and answers.
 
-Texts become their words, lower-cased and joined by single spaces; every window of an
-item's words is one pattern with a space at either end, so that it matches whole words
-alone. A scan reads each text once. Hits are ranges of words; for texts that have any,
-they are mapped to character offsets of the original.
-
-The items' bytes are counted before they are collected: they are dealt into as many
-shards as keep each automaton under ``shard_bytes`` of pattern text. One shard (the
-normal case) needs no shuffle at all; more are scanned one after the other, and only
-rows with hits are joined back.
+Texts become their words, lower-cased and joined by single spaces. Each item is cut into
+blocks of half a window, end to end; a block is a pattern with a space at either end, so
+that it matches whole words alone. Every window holds a whole block, so a scan, which
+reads each text once, finds a block wherever a window occurs. Only the windows of the
+text around a block are then looked up, by their 128-bit digests, among all windows of
+the items. Hits are ranges of words; for texts that have any, they are mapped to
+character offsets of the original.
+
+An automaton holds each item's text once, not once a place of the window. The items'
+bytes are counted before they are collected: they are dealt into as many shards as keep
+each automaton under ``shard_bytes`` of item text (about 80 bytes of memory a byte). One
+shard (the normal case) needs no shuffle at all; more are scanned one after the other,
+and only rows with hits are joined back.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -31,24 +36,42 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_KEEP).split() if text else []
 
 
-def windows(words: list[bytes], size: int) -> set[bytes]:
-    if not words:
-        return set()
-    return {b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))}
+def digest(words: list[bytes]) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(b" ".join(words))
 
 
 class Automaton:
+    """Blocks of items (item id or None, text), and the items of every window by its digest."""
+
     def __init__(self, items: list[tuple[str | None, bytes | None]], size: int):
         import ahocorasick
 
-        found: dict[bytes, set[str]] = {}
+        self.size, half = size, (size + 1) // 2
+        blocks: dict[bytes, int] = {}
+        found: dict[bytes, tuple[str, ...]] = {}
+        ids: dict[tuple, tuple[str, ...]] = {}  # equal lists of items are held once
         for item, text in items:
-            for w in windows(words_of(text), size):
-                found.setdefault(w, set()).update([] if item is None else [item])
-        self.automaton = ahocorasick.Automaton() if found else None
-        for w, ids in found.items():
-            self.automaton.add_word(w.decode("latin-1"), (w.count(b" ") - 1, ids))
-        if found:
+            words = words_of(text)
+            n = min(size, len(words))
+            if not n:
+                continue
+            step = half if len(words) >= size else n
+            for i in range(0, len(words) - step + 1, step):
+                blocks[b" " + b" ".join(words[i : i + step]) + b" "] = step
+            for i in range(len(words) - n + 1):
+                key = digest(words[i : i + n])
+                old = found.get(key, ())
+                if item is not None and item not in old:
+                    old = (*old, item)
+                found[key] = ids.setdefault(old, old)
+        self.windows = found
+        self.shorter = sorted({n for _, text in items if 0 < (n := len(words_of(text))) < size})
+        self.automaton = ahocorasick.Automaton() if blocks else None
+        for block, n in blocks.items():
+            self.automaton.add_word(block.decode("latin-1"), n)
+        if blocks:
             self.automaton.make_automaton()
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -60,13 +83,21 @@ class Automaton:
         if not hits:
             return [], set()
         ends = np.cumsum([len(w) + 1 for w in words])  # place of the space after each word
+        last = np.searchsorted(ends, [at for at, _ in hits]).tolist()
+        places: set[tuple[int, int]] = set()  # where a window may stand: start and number of words
+        for end, (_, n) in zip(last, hits, strict=True):
+            start = end + 1 - n
+            places.update((i, self.size) for i in range(max(0, end + 1 - self.size), min(start, len(words) - self.size) + 1))
+            if n in self.shorter:
+                places.add((start, n))
         ranges, items = [], set()
-        for at, (n, ids) in hits:
-            last = int(np.searchsorted(ends, at))
-            ranges.append((last + 1 - n, last + 1))
-            items |= ids
+        for i, n in sorted(places):
+            ids = self.windows.get(digest(words[i : i + n]))
+            if ids is not None:
+                ranges.append((i, i + n))
+                items.update(ids)
         merged: list[tuple[int, int]] = []
-        for a, b in sorted(ranges):
+        for a, b in ranges:
             if merged and a <= merged[-1][1]:
                 merged[-1] = merged[-1][0], max(b, merged[-1][1])
             else:
@@ -88,10 +119,9 @@ _RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _scan(docs: DataFrame, items: list, text_col: str, size: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    run = str(id(items)) + str(len(items))
+    key = uuid.uuid4().hex
 
     def start():
-        key = (run, size, hash(tuple(shared.value)))
         if key not in _WORKER:
             _WORKER.clear()
             _WORKER[key] = Automaton(shared.value, size)
@@ -114,7 +144,7 @@ def _scan(docs: DataFrame, items: list, text_col: str, size: int) -> DataFrame:
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 13, share: int = 20, shard_bytes: int = 64 << 20
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 13, share: int = 20, shard_bytes: int = 4 << 20
 ) -> DataFrame:
     """docs with n_words, ranges, item_ids, spans, n_hit and contaminated.
 
@@ -122,11 +152,13 @@ def decontaminate(
     word of a document within an occurrence of a window is hit; a document is
     contaminated if it has hits and share * n_hit >= n_words. Null and empty texts have no
     words; items without words give no window, items without an id hit but are not
-    listed. Repeated rows are each judged. Columns of docs that have one of the new names
-    are replaced.
+    listed. Repeated rows are each judged; items that repeat count once by their id. Texts
+    of any length are scanned whole; a single item has to fit a shard's memory. An empty
+    table of documents gives an empty table, one of items no hits. Columns of docs that
+    have one of the new names are replaced, others pass through.
     """
     asked = items.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").cast("binary").alias("text"))
-    total = (asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * size
+    total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     deal = F.pmod(F.xxhash64("id", "text"), F.lit(shards))
     pick = lambda k: [(r[0], bytes(r[1]) if r[1] is not None else None) for r in asked.where(deal == k).collect()]
@@ -138,16 +170,16 @@ def decontaminate(
         parts = []
         for k in range(shards):
             hit = _scan(texts, pick(k), "text", size).where(F.size("ranges") > 0)
-            parts.append(stored(hit.select(F.xxhash64("text").alias(h1), F.xxhash64(F.lit(7), "text").alias(h2), "ranges", "item_ids", "spans"), "hits"))
+            both = F.arrays_zip("ranges", "spans").alias("both")
+            parts.append(stored(hit.select(F.xxhash64("text").alias(h1), F.xxhash64(F.lit(7), "text").alias(h2), both, "item_ids"), "hits"))
         one = parts[0]
         for p in parts[1:]:
             one = one.unionAll(p)
-        one = one.distinct().groupBy(h1, h2).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("ranges", "item_ids", "spans")])
-        merge = (
-            "aggregate({0}, cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) -> if(size(acc) > 0 and element_at(acc, -1).end >= x.start, "
-            "concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(element_at(acc, -1).end, x.end) as end))), concat(acc, array(x))))"
-        )
-        one = one.withColumns({"ranges": F.expr(merge.format("ranges")), "spans": F.expr(merge.format("spans"))})
+        one = one.distinct().groupBy(h1, h2).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("both", "item_ids")])
+        kind = one.schema["both"].dataType.simpleString()
+        joined = "named_struct('ranges', named_struct('start', {0}.ranges.start, 'end', greatest({0}.ranges.end, x.ranges.end)), 'spans', named_struct('start', {0}.spans.start, 'end', greatest({0}.spans.end, x.spans.end)))"
+        merge = f"aggregate(both, cast(array() as {kind}), (acc, x) -> if(size(acc) > 0 and element_at(acc, -1).ranges.end >= x.ranges.start, concat(slice(acc, 1, size(acc) - 1), array({joined.format('element_at(acc, -1)')})), concat(acc, array(x))))"
+        one = one.withColumn("both", F.expr(merge)).select(h1, h2, F.col("both.ranges").alias("ranges"), F.col("both.spans").alias("spans"), "item_ids")
         base = _scan(docs, [], text_col, size).drop("ranges", "item_ids", "spans")
         base = base.withColumns({h1: F.xxhash64(f"`{text_col}`"), h2: F.xxhash64(F.lit(7), f"`{text_col}`")})
         out = base.join(one, [h1, h2], "left").drop(h1, h2)

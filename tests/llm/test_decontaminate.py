@@ -2,10 +2,15 @@ from __future__ import annotations
 
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
-from quillspark.llm.decontaminate import decontaminate, op2_decontaminate
+from quillspark.llm.decontaminate import Automaton, decontaminate, op2_decontaminate, words_of
+
+ROOT = str(Path(__file__).resolve().parents[2])
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -31,7 +36,7 @@ def brute(docs, items, size=13):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("shard_bytes", [64 << 20, 4000])
+@pytest.mark.parametrize("shard_bytes", [4 << 20, 200])
 def test_against_brute_force(spark, shard_bytes):
     rng = random.Random(4)
     vocab = ["a", "B", "cé", "d9", "ü", "E"]
@@ -55,3 +60,36 @@ def test_query_finds_planted_passages(spark, sf):
     rows = op2_decontaminate(spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert any(r.contaminated for r in rows)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 13])
+def test_every_window_is_found(size):
+    rng = random.Random(size)
+    for _ in range(60):
+        items = [(str(i), " ".join(rng.choice("abc") for _ in range(rng.randint(0, 3 * size + 2))).encode()) for i in range(4)]
+        text = " ".join(rng.choice("abcd") for _ in range(80))
+        for _, t in items:
+            text += " " + t.decode() + " d " + " ".join(t.decode().split()[rng.randint(0, 3) :])
+        ranges, ids = Automaton(items, size).scan(words_of(text.encode()))
+        (_, _, n_hit, want, _) = brute([(0, text)], [(i, t.decode()) for i, t in items], size)[0]
+        assert (sum(b - a for a, b in ranges), sorted(ids)) == (n_hit, want)
+
+
+def test_memory_of_a_full_shard():
+    code = """
+import inspect, random, resource
+from quillspark.llm.decontaminate import Automaton, decontaminate
+rng = random.Random(1)
+bound = inspect.signature(decontaminate).parameters["shard_bytes"].default
+vocab = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(50_000)]
+items, total = [], 0
+while total < bound:
+    items.append((str(len(items)), " ".join(rng.choice(vocab) for _ in range(60)).encode()))
+    total += len(items[-1][1])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+a = Automaton(items, 13)
+assert a.scan(items[5][1].split())[1] == {"5"}
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT)
+    assert int(out.stdout.split()[-1]) < 600  # MB, so that two workers fit an executor of 3 GB
