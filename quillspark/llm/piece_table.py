@@ -6,7 +6,7 @@ pieces lie end to end and carry their blanks; a piece alone has the ids that it
 its text. All pieces of a chunk are hashed at once (a prefix sum of a polynomial with
 random coefficients) and looked up in an open-addressing table, which checks their length
 and first eight bytes too. What is not found is encoded by the tokenizers library and
-added. Texts with blanks whose class is in doubt, or an added token's string, are encoded
+added. A LengthTable keeps the ids' number alone. Texts with blanks whose class is in doubt, or an added token's string, are encoded
 whole by the library. The table is of fixed size; it starts afresh when the new pieces of
 a chunk might fill it beyond seven tenths. What has no room even then is encoded and not kept.
 """
@@ -76,8 +76,13 @@ def cut(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[:-1], edges[1:]
 
 
-class PieceTable:
-    def __init__(self, path: str, slot_bits: int = SLOT_BITS, frequent: tuple[list[bytes], list[bytes]] = ((), ())):
+class LengthTable:
+    """Numbers of tokens of pieces, by hash: 24 bytes a slot, and no ids.
+
+    frequent: hashes, first bytes, sizes and numbers of tokens that it starts with.
+    """
+
+    def __init__(self, path: str, slot_bits: int = SLOT_BITS, frequent: tuple = ()):
         self.library = Library(path)
         self.dtype = self.library.dtype
         self.bits = slot_bits
@@ -85,17 +90,43 @@ class PieceTable:
         self.forward, self.backward = _powers(_BASE), _powers(_INVERSE)
         self.frequent = frequent
         self.clear()
-        self.seed(*frequent)
+        self.begin()
 
     def clear(self) -> None:
         n = 1 << self.bits
         self.keys = np.zeros(n, dtype=np.uint64)
         self.heads = np.zeros(n, dtype=np.uint64)
         self.sizes = np.zeros(n, dtype=np.int32)
-        self.at = np.zeros(n, dtype=np.int32)
         self.count = np.zeros(n, dtype=np.int32)
-        self.pool = np.zeros(1 << 16, dtype=self.dtype)
-        self.filled = self.used = 0
+        self.filled = 0
+
+    def begin(self) -> None:
+        """Puts in what is known from the start, as far as there is room."""
+        if len(self.frequent):
+            h, heads, sizes, counts = self.frequent
+            new = self.new(h, np.arange(len(h)))
+            self.put(h[new], heads[new], sizes[new], counts[new])
+
+    def put(self, h, heads, sizes, counts) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct new hashes, for which there is room; gives slots, and which of them each is for."""
+        self.filled += len(h)
+        mask = (1 << self.bits) - 1
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        open_ = np.arange(len(h))
+        slots, own = [], []
+        while len(open_):
+            s = slot[open_]
+            empty = self.keys[s] == 0
+            self.keys[s[empty]] = h[open_[empty]]
+            mine = empty & (self.keys[s] == h[open_])  # of several for one slot the last is in
+            put, to = open_[mine], s[mine]
+            self.heads[to], self.sizes[to], self.count[to] = heads[put], sizes[put], counts[put]
+            slots.append(to)
+            own.append(put)
+            open_ = open_[~mine]
+            slot[open_] = (slot[open_] + 1) & mask
+        none = np.zeros(0, np.int64)
+        return (np.concatenate(slots), np.concatenate(own)) if slots else (none, none)
 
     def find(self, h: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Slots of pieces, -1 for those not there."""
@@ -115,53 +146,22 @@ class PieceTable:
         out[wrong & (out >= 0)] = -2  # another piece of the same hash
         return out
 
-    def add(self, h, heads, sizes, values: list[bytes]) -> None:
-        """Distinct new hashes, for which there is room."""
-        if not values:
-            return
-        w = self.library.width
-        counts = np.array([len(v) // w for v in values], dtype=np.int64)
-        ids = np.frombuffer(b"".join(values), self.dtype)
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), self.dtype)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        places = self.used + np.cumsum(counts) - counts
-        self.used += len(ids)
-        self.filled += len(h)
-        mask = (1 << self.bits) - 1
-        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        open_ = np.arange(len(h))
-        while len(open_):
-            s = slot[open_]
-            empty = self.keys[s] == 0
-            self.keys[s[empty]] = h[open_[empty]]
-            mine = empty & (self.keys[s] == h[open_])  # of several for one slot the last is in
-            put, to = open_[mine], s[mine]
-            self.heads[to], self.sizes[to], self.at[to], self.count[to] = heads[put], sizes[put], places[put], counts[put]
-            open_ = open_[~mine]
-            slot[open_] = (slot[open_] + 1) & mask
-
     def new(self, h: np.ndarray, missing: np.ndarray) -> np.ndarray:
         """One place of each missing hash, as many as there is room for."""
         _, index = np.unique(h[missing], return_index=True)
         return missing[index[: max(0, self.most - self.filled)]]
 
-    def seed(self, pieces: list[bytes], values: list[bytes]) -> None:
-        """Adds pieces whose ids are known, as far as there is room."""
-        if not pieces:
-            return
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
-        stops = np.cumsum([len(p) for p in pieces])
-        at = 0
+    def entries(self, pieces: list[bytes]) -> tuple:
+        """Hashes, first bytes, sizes and numbers of tokens of pieces, as ``frequent`` takes them; of pieces that are kept."""
+        pieces = [p for p in pieces if 0 < len(p) <= LONG]
+        parts, at = [], 0
         while at < len(pieces):  # in chunks, as a hash needs the powers of its places
-            start = int(stops[at] - len(pieces[at]))
-            end = max(at + 1, int(np.searchsorted(stops, start + CHUNK, side="right")))
-            if stops[end - 1] - start <= CHUNK:
-                sizes = np.array([len(p) for p in pieces[at:end]])
-                h, heads, sizes = self.hashes(raw[start : stops[end - 1]], np.cumsum(sizes) - sizes, np.cumsum(sizes))
-                one = self.new(h, np.arange(len(h)))
-                self.add(h[one], heads[one], sizes[one], [values[at + i] for i in one.tolist()])
+            end = at + max(1, CHUNK // LONG)
+            sizes = np.array([len(p) for p in pieces[at:end]])
+            raw = np.frombuffer(b"".join(pieces[at:end]), np.uint8)
+            parts.append((*self.hashes(raw, np.cumsum(sizes) - sizes, np.cumsum(sizes)), self._counts(pieces[at:end])))
             at = end
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
     def values(self, pieces: list[bytes]) -> list[bytes]:
         """The library's ids of pieces: plain ones many at a time, the rest one by one."""
@@ -180,18 +180,13 @@ class PieceTable:
             out[i] = v
         return out
 
-    def encode(self, column: pa.StringArray) -> list[bytes]:
-        """The ids of each text (null: none), as little-endian bytes of dtype."""
+    def _frame(self, column: pa.StringArray):
+        """Bytes and offsets of a column that lie end to end, and which texts the library has to see whole."""
         n = len(column)
-        if not n:
-            return []
-        if not self.library.cuts:
-            return self.library.encoded([t or "" for t in column.to_pylist()])
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
         data = column.buffers()[2]
         raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
         offsets -= offsets[0]
-        out: list[bytes] = [b""] * n
         whole = np.zeros(n, dtype=bool)
         whole[np.searchsorted(offsets, doubtful(raw), side="right") - 1] = True
         everything = raw.tobytes()
@@ -199,34 +194,59 @@ class PieceTable:
             mark, k = s.encode("utf-8"), -1
             while (k := everything.find(mark, k + 1)) >= 0:
                 whole[np.searchsorted(offsets, k, side="right") - 1] = True
-        starts, stops = cut(raw, offsets)
-        ids, counts = self._lookup(raw, everything, starts, stops)
-        # Tokens before each piece, and so before each text.
-        before = np.append(0, np.cumsum(counts))
-        cuts = before[np.searchsorted(starts, offsets)] * self.library.width
-        flat = ids.tobytes()
-        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            out[i] = flat[a:b]
         again = np.flatnonzero(whole & (np.diff(offsets) > 0)).tolist()
-        for i, v in zip(again, self.library.encoded([everything[offsets[i] : offsets[i + 1]].decode("utf-8") for i in again]), strict=True):
-            out[i] = v
-        return out
+        return raw, offsets, everything, again
 
-    def _lookup(self, raw, everything: bytes, starts, stops):
-        parts, counts = [], []
+    def _chunks(self, starts, stops):
+        """Ranges of pieces that fit a chunk, and whether they do: a piece longer than one stands alone."""
         at, n = 0, len(starts)
         while at < n:
             end = int(np.searchsorted(stops, starts[at] + CHUNK, side="right"))
-            if end == at:  # a piece longer than a chunk
-                parts.append(np.frombuffer(self.library.encoded([everything[starts[at] : stops[at]].decode("utf-8")])[0], self.dtype))
-                counts.append(np.array([len(parts[-1])]))
-                at += 1
-                continue
-            p, c = self._chunk(raw, everything, starts[at:end], stops[at:end])
-            parts.append(p)
-            counts.append(c)
-            at = end
-        return (np.concatenate(parts), np.concatenate(counts)) if parts else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
+            yield at, max(end, at + 1), end > at
+            at = max(end, at + 1)
+
+    def lengths(self, column: pa.StringArray) -> np.ndarray:
+        """The number of tokens of each text (null: none)."""
+        if not len(column):
+            return np.zeros(0, np.int64)
+        if not self.library.cuts:
+            return np.array(self.library.counts([t or "" for t in column.to_pylist()]), dtype=np.int64)
+        raw, offsets, everything, again = self._frame(column)
+        starts, stops = cut(raw, offsets)
+        counts = [np.zeros(0, np.int64)]
+        for a, b, fits in self._chunks(starts, stops):
+            if fits:
+                slots, own = self._known(raw, everything, starts[a:b], stops[a:b])
+                count = self.count[slots].astype(np.int64)
+                count[own[0]] = own[1]
+                counts.append(count)
+            else:
+                counts.append(np.array(self.library.counts([everything[starts[a] : stops[a]].decode("utf-8")])))
+        before = np.append(0, np.cumsum(np.concatenate(counts)))
+        out = np.diff(before[np.searchsorted(starts, offsets)])
+        out[again] = self.library.counts([everything[offsets[i] : offsets[i + 1]].decode("utf-8") for i in again])
+        return out
+
+    def _known(self, raw, everything: bytes, starts, stops):
+        """Slots of the pieces of a chunk, of which new ones are added; and those without a slot, with their numbers of tokens."""
+        first, last = int(starts[0]), int(stops[-1])
+        h, heads, sizes = self.hashes(raw[first:last], starts - first, stops - first)
+        slots, missing = self._search(h, heads, sizes)
+        if len(missing) and self.filled + len(missing) > self.most:
+            self.clear()
+            self.begin()
+            slots, missing = self._search(h, heads, sizes)
+        pieces = lambda at: [everything[s:e] for s, e in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
+        if len(missing):
+            new = self.new(h, missing)
+            self.put(h[new], heads[new], sizes[new], self._counts(pieces(new)))
+            slots[missing] = self.find(h[missing], heads[missing], sizes[missing])
+        strange = np.flatnonzero(slots < 0)
+        return slots, (strange, self._counts(pieces(strange)))
+
+    def _counts(self, pieces: list[bytes]) -> np.ndarray:
+        w = self.library.width
+        return np.array([len(v) // w for v in self.values(pieces)], dtype=np.int64)
 
     def hashes(self, part, a, b):
         """Hash, first eight bytes and size of the pieces part[a:b]."""
@@ -251,13 +271,69 @@ class PieceTable:
         slots[sizes > LONG] = -2
         return slots, np.flatnonzero(slots == -1)
 
+class PieceTable(LengthTable):
+    """The ids of pieces too: a place in a pool beside each length (28 bytes a slot)."""
+
+    def clear(self) -> None:
+        super().clear()
+        self.at = np.zeros(1 << self.bits, dtype=np.int32)
+        self.pool = np.zeros(1 << 16, dtype=self.dtype)
+        self.used = 0
+
+    def add(self, h, heads, sizes, values: list[bytes]) -> None:
+        """Distinct new hashes, for which there is room."""
+        if not values:
+            return
+        counts = np.array([len(v) // self.library.width for v in values], dtype=np.int64)
+        ids = np.frombuffer(b"".join(values), self.dtype)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), self.dtype)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        places = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        slots, own = self.put(h, heads, sizes, counts)
+        self.at[slots] = places[own]
+
+    def encode(self, column: pa.StringArray) -> list[bytes]:
+        """The ids of each text (null: none), as little-endian bytes of dtype."""
+        n = len(column)
+        if not n:
+            return []
+        if not self.library.cuts:
+            return self.library.encoded([t or "" for t in column.to_pylist()])
+        raw, offsets, everything, again = self._frame(column)
+        out: list[bytes] = [b""] * n
+        starts, stops = cut(raw, offsets)
+        ids, counts = self._lookup(raw, everything, starts, stops)
+        # Tokens before each piece, and so before each text.
+        before = np.append(0, np.cumsum(counts))
+        cuts = before[np.searchsorted(starts, offsets)] * self.library.width
+        flat = ids.tobytes()
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            out[i] = flat[a:b]
+        for i, v in zip(again, self.library.encoded([everything[offsets[i] : offsets[i + 1]].decode("utf-8") for i in again]), strict=True):
+            out[i] = v
+        return out
+
+    def _lookup(self, raw, everything: bytes, starts, stops):
+        parts, counts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for a, b, fits in self._chunks(starts, stops):
+            if fits:
+                p, c = self._chunk(raw, everything, starts[a:b], stops[a:b])
+            else:
+                p = np.frombuffer(self.library.encoded([everything[starts[a] : stops[a]].decode("utf-8")])[0], self.dtype)
+                c = np.array([len(p)])
+            parts.append(p)
+            counts.append(c)
+        return np.concatenate(parts), np.concatenate(counts)
+
     def _chunk(self, raw, everything: bytes, starts, stops):
         first, last = int(starts[0]), int(stops[-1])
         h, heads, sizes = self.hashes(raw[first:last], starts - first, stops - first)
         slots, missing = self._search(h, heads, sizes)
         if len(missing) and (self.used > POOL_IDS or self.filled + len(missing) > self.most):
             self.clear()
-            self.seed(*self.frequent)
+            self.begin()
             slots, missing = self._search(h, heads, sizes)
         if len(missing):
             new = self.new(h, missing)
@@ -289,10 +365,10 @@ def release_table() -> None:
     _WORKER.clear()
 
 
-def worker_table(path: str, frequent=None, run: str = "") -> PieceTable:
-    """This worker's table, kept from task to task. frequent: broadcast pieces and their ids, named by run, or None."""
-    key = path, run
+def worker_table(kind, path: str, frequent=None, run: str = ""):
+    """This worker's table of a class, kept from task to task. frequent: broadcast entries of a LengthTable, named by run, or None."""
+    key = kind.__name__, path, run
     if key not in _WORKER:
         _WORKER.clear()
-        _WORKER[key] = PieceTable(path, frequent=frequent.value if frequent is not None else ((), ()))
+        _WORKER[key] = kind(path, frequent=frequent.value) if frequent is not None else kind(path)
     return _WORKER[key]

@@ -8,13 +8,20 @@ import os
 import numpy as np
 
 
+#: Fixed value: the pattern of a splitter that keeps only matches, none of which holds a blank.
+BLANKLESS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def id_type(vocabulary: int) -> str:
     """The little-endian type of ids of a vocabulary."""
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
 class Library:
-    """A tokenizer file. cuts: whether its ids may be found piece by piece (plain byte-level BPE)."""
+    """A tokenizer file. cuts: whether its ids may be found piece by piece (plain byte-level BPE).
+
+    drops_blanks: whether words between ASCII blanks are tokenised apart from each other.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
@@ -34,11 +41,23 @@ class Library:
             and not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and spec["model"].get("dropout") is None
             and not any(t.get(k) for t in added for k in ("normalized", "lstrip", "rstrip", "single_word"))
         )
+        first = (pre.get("pretokenizers") or [pre])[0]
+        steps = (spec.get("normalizer") or {}).get("normalizers", [spec["normalizer"]] if spec.get("normalizer") else [])
+        plain = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and (n["pattern"], n["content"]) == ({"Regex": "\\s+"}, " ") for n in steps)
+        self.drops_blanks = (
+            plain and first.get("type") == "Split" and first.get("pattern") == {"Regex": BLANKLESS} and first.get("behavior") == "Removed" and bool(first.get("invert"))
+            and not any(spec.get(k) for k in ("truncation", "padding")) and spec["model"].get("dropout") is None
+            and not any(t.get(k) for t in added for k in ("normalized", "lstrip", "rstrip", "single_word")) and not any(b in s for s in self.specials for b in " \t\n\r\x0b\x0c")
+        )
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts as bytes of dtype, added tokens' strings as the library takes them by default."""
         return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """The numbers of ids of whole texts."""
+        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def pieces(self, keys: list[str]) -> list[bytes]:
         """Ids of pieces: 'x' stands for a space and x, '\\nx' for itself; x has no blank.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .piece_table import release_table, worker_table
+from .piece_table import PieceTable, release_table, worker_table
 from .shared import new_path, ship, slices, stored
 
 #: Tokens after which a block is closed; a longer document makes its block longer.
@@ -47,7 +47,7 @@ def encoded_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def tokenise(batches):
-        table, (pack, _) = worker_table(path), _packer()
+        table, (pack, _) = worker_table(PieceTable, path), _packer()
         w, end = table.library.width, np.array(end_id, dtype=table.dtype).tobytes()
         for batch in batches:
             for part in slices(batch, "text"):
@@ -71,8 +71,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     """Encodes every whole text and writes the files described above to path.
 
     A null text is the empty one: just the end id. Rows without an id come first; rows
-    that share one follow each other, the shorter first. An empty table writes files with
-    no block. Columns besides the two are ignored.
+    that share one follow each other, the shorter first, then in the order of a hash;
+    they may be spread over several parts. Texts of any length are encoded whole, one
+    without blanks too. An empty table writes files with no block. Columns besides the
+    two are ignored, whatever their names.
     """
     spark = docs.sparkSession
     ids = stored(encoded_ids(docs, tokenizer, id_col, text_col, end_id), "token-ids")
@@ -102,7 +104,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
 
     total = ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (PART_MB << 20)))
-    ordered = ids.repartitionByRange(parts, "id").sortWithinPartitions("id", "n", "ids")
+    # Rows that share an id are dealt by length and text too, and equal ones by their place in the table read.
+    order = ["id", "n", "hash", "place"]
+    keyed = ids.withColumns({"hash": F.xxhash64("ids"), "place": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "n", "ids")
 
     def blocks(batches):
         release_table()
@@ -163,6 +168,35 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     return blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """part, block, segment, first (its first token's place in the block) and ids, each decoded from its own checkpoint.
+
+    Rows carry the words of their segment alone, so that a long block is decoded by many tasks.
+    """
+    ship(spark)
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in spark.read.parquet(f"{path}/table").orderBy("symbol").collect()])
+    end = F.coalesce(F.get("places", F.col("segment") + 1), F.octet_length("words") / 4)
+    one = blocks.select("part", "block", "n", "lanes", "every", "words", "places", "states", "crcs", F.posexplode("places").alias("segment", "place"))
+    one = one.select(
+        "part", "block", "segment", F.substring("words", (4 * F.col("place") + 1).cast("int"), (4 * (end - F.col("place"))).cast("int")).alias("words"),
+        (F.col("segment").cast("long") * F.col("every") * F.col("lanes")).alias("first"), "n", "lanes", "every", F.get("states", "segment").alias("state"), F.get("crcs", "segment").alias("crc"),
+    )
+    dealt = one.repartition("part", "block", "segment")
+
+    def decode(batches):
+        release_table()
+        t = rans.Table(*map(np.array, zip(*shared.value, strict=True))) if shared.value else None
+        for batch in batches:
+            for row in batch.to_pylist():
+                size = min(row["n"] - row["first"], row["every"] * row["lanes"])
+                ids = rans.decode_segment(rans.Block(size, row["lanes"], row["every"], row["words"], [0], [row["state"]], [row["crc"]]), 0, t)
+                out = [pa.array([row["part"]], pa.int32()), pa.array([row["block"]], pa.int32()), pa.array([row["segment"]], pa.int32()), pa.array([row["first"]], pa.int64()), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(out, names=["part", "block", "segment", "first", "ids"])
+
+    return dealt.mapInArrow(decode, "part int, block int, segment int, first long, ids array<int>")
+
+
 def op1_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

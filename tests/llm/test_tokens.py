@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from quillspark.llm import piece_table, rans
 from quillspark.llm.shared import new_path
 from quillspark.llm.token_counts import count_tokens, op6_token_counts
-from quillspark.llm.token_files import op1_token_files, read_token_files, write_token_files
+from quillspark.llm.token_files import op1_token_files, read_segments, read_token_files, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [None, "", " ", "\n", "  ", "a  b", "a\n\nb", " a", "a ", "a\n", "a\t b", "a  b", "it's 12 <|endoftext|> x", "é ü᠎ b", "x\r\ny", "世界 世界", "The end.\nThe end.", "word " * 5000]
@@ -28,11 +28,12 @@ def test_piece_table_gives_the_librarys_ids(slot_bits, monkeypatch):
     parts = [" ", "  ", "\n", "\n\n", "\t", "a", "The", "'s", "1", "é", "\xa0", "　", ".", ",", "!?", "’", "᠎", "<|endoftext|>", "世", "\x1c", "\x85", "\r\n", "Â", "word, ", "end. "]
     texts = [*ODD, None, *["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(4000)]]
     monkeypatch.setattr(piece_table, "CHUNK", 64)
-    table = piece_table.PieceTable(PATH, slot_bits)
+    table, lengths = piece_table.PieceTable(PATH, slot_bits), piece_table.LengthTable(PATH, slot_bits)
     for k in range(0, len(texts), 50):
         column = pa.array(["x", *texts[k : k + 50]]).slice(1)
         for text, mine, ids in zip(texts[k : k + 50], table.encode(column), library(texts[k : k + 50]), strict=True):
             assert np.frombuffer(mine, "<u2").tolist() == ids, text
+        assert lengths.lengths(column).tolist() == [0, *map(len, library(texts[k : k + 50]))][1:]
 
 
 def long_runs():
@@ -50,8 +51,11 @@ def test_piece_table_long_runs_without_blanks():
     for _ in range(2):  # the second time with what is kept
         for mine, ids in zip(table.encode(pa.array(texts)), expected, strict=True):
             assert np.frombuffer(mine, "<u2").tolist() == ids
-    seeded = piece_table.PieceTable(PATH, 12, ([b" " + texts[0].split()[1].encode()], [table.values([b" " + texts[0].split()[1].encode()])[0]]))
-    assert np.frombuffer(seeded.encode(pa.array(texts[:1]))[0], "<u2").tolist() == expected[0]
+    lengths = piece_table.LengthTable(PATH, 12)
+    assert lengths.lengths(pa.array(texts)).tolist() == [len(x) for x in expected]
+    pieces = [b" " + w.encode() for w in texts[0].split()]
+    seeded = piece_table.LengthTable(PATH, 12, lengths.entries(pieces))
+    assert seeded.filled == 4 and seeded.lengths(pa.array(texts)).tolist() == [len(x) for x in expected]  # the two longest are not kept
 
 
 def test_long_runs_in_token_files_and_counts(spark):
@@ -68,13 +72,15 @@ def test_piece_table_with_more_pieces_than_slots(slot_bits):
     texts = [start, " ".join(map(str, range(10_000, 10_000 + 3 * n))), " ".join(map(str, range(20_000, 20_000 + n))), start, "1 2 3 ab"]
     expected = library(texts)
     pieces = [f" {i}".encode() for i in range(30_000, 30_000 + 2 * n)]
-    plain = piece_table.PieceTable(PATH, 16)
-    for table in (piece_table.PieceTable(PATH, slot_bits), piece_table.PieceTable(PATH, slot_bits, (pieces, plain.values(pieces)))):
-        for columns in ([[t] for t in texts], [texts], [texts[1:], texts]):
-            for column in columns:
-                for mine, text in zip(table.encode(pa.array(column)), column, strict=True):
-                    assert np.frombuffer(mine, "<u2").tolist() == expected[texts.index(text)]
-                assert table.filled < n
+    entries = piece_table.LengthTable(PATH, 16).entries(pieces)
+    table, short, seeded = piece_table.PieceTable(PATH, slot_bits), piece_table.LengthTable(PATH, slot_bits), piece_table.LengthTable(PATH, slot_bits, entries)
+    for columns in ([[t] for t in texts], [texts], [texts[1:], texts]):
+        for column in columns:
+            for mine, text in zip(table.encode(pa.array(column)), column, strict=True):
+                assert np.frombuffer(mine, "<u2").tolist() == expected[texts.index(text)]
+            for own in (short, seeded):
+                assert own.lengths(pa.array(column)).tolist() == [len(expected[texts.index(t)]) for t in column]
+            assert max(table.filled, short.filled, seeded.filled) < n
 
 
 def test_piece_table_starts_afresh_with_a_full_pool(monkeypatch):
@@ -136,15 +142,44 @@ def test_token_counts(spark, sf):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_token_counts_odd_rows(spark, name):
-    df = spark.createDataFrame([*enumerate(ODD), (None, "a b"), (1, "a")], "doc_id long, text string").selectExpr("*", "0 AS n_tokens", "0 AS _n")
+    rng = np.random.default_rng(8)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "a", "The", "'s", "12", "é", "e\u0301", "\xa0", "\u3000", ".", "!?", "’", "▁", "<|endoftext|>", "<s>", "世", "Σ", "İ", "\x1c", "\x85", "\r\n", "word, ", "end. ", " \u0301x"]
+    some = [*ODD, *["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(1_500)], "=" * 5_000, "世界" * 4_000]
+    df = spark.createDataFrame([*enumerate(some), (None, "a b"), (1, "a")], "doc_id long, text string").selectExpr("*", "0 AS n_tokens", "0 AS _n")
     path = public_tokenizers.path(name)
     if name.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        expected = [len(model.encode(t or "")) for t in [*ODD, "a b", "a"]]
+        expected = [len(model.encode(t or "")) for t in [*some, "a b", "a"]]
     else:
-        expected = [len(Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids) for t in [*ODD, "a b", "a"]]
+        tokenizer = Tokenizer.from_file(path)
+        expected = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in [*some, "a b", "a"]]
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in count_tokens(df, path).collect())
-    assert got == sorted(zip([*range(len(ODD)), -1, 1], expected, strict=True))
+    assert got == sorted(zip([*range(len(some)), -1, 1], expected, strict=True))
     assert count_tokens(df.limit(0), path).count() == 0
+
+
+def test_segments_decode_apart(spark):
+    docs = spark.createDataFrame([(i, f"{i} some words " * 3_000) for i in range(6)], "doc_id long, text string").repartition(2)
+    path = write_token_files(docs, new_path(spark, "t"), PATH, block_tokens=30_000)
+    whole = {r.doc_id: r for r in read_token_files(spark, path).collect()}
+    blocks = spark.read.parquet(f"{path}/blocks").select("part", "block", "ids").collect()
+    pieces: dict = {}
+    for r in read_segments(spark, path).collect():
+        pieces.setdefault((r.part, r.block), []).append((r.first, r.ids))
+    for b in blocks:
+        parts = sorted(pieces.pop((b.part, b.block)))
+        got = [x for _, ids in parts for x in ids]
+        assert got == [x for i in b.ids for x in whole[i].ids] and [f for f, _ in parts] == np.cumsum([0, *[len(x) for _, x in parts]])[:-1].tolist()
+    assert not pieces
+
+
+def test_one_id_on_most_rows_is_spread(spark):
+    rows = spark.range(4_000).selectExpr("cast(if(id < 3000, null, id) AS long) AS doc_id", "if(id % 3 = 0, null, concat('w', id % 50)) AS text")
+    path = write_token_files(rows, new_path(spark, "t"), PATH)
+    parts = [r["count"] for r in spark.read.parquet(f"{path}/blocks").selectExpr("part", "explode(ids) AS id").groupBy("part").count().collect()]
+    assert len(parts) > 2 and sum(parts) == 4_000 and max(parts) < 2_000
+    got = read_token_files(spark, path, with_ids=False).orderBy("start").collect()
+    assert len(got) == 4_000 and [r.doc_id for r in got] == [None] * 3_000 + list(range(3_000, 4_000))
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
