@@ -14,10 +14,22 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+#: Edges of a node from which it is a hub, at least, and hubs at most: with more edges the first bound grows.
+HUB, HUBS = 1_000, 100_000
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """u and the smallest node that its smaller neighbour v sees, over edges u > v, of which there are total.
+
+    A node that many others hang on is met by a broadcast, not by a shuffle of its edges
+    to one task; there are total / bound hubs at most.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
+    bound = max(HUB, total // HUBS)
+    hubs = edges.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > bound).select("v")
+    many = edges.join(F.broadcast(hubs.join(least, "v", "left")), "v")
+    few = edges.join(F.broadcast(hubs), "v", "left_anti").join(least, "v", "left")
+    return many.unionByName(few).select("u", F.coalesce("m", "v").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -39,4 +51,4 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if not mark[0] or mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = mark
-        now = stored(_small_star(_large_star(now)), name)
+        now = stored(_small_star(_large_star(now, mark[0])), name)

@@ -10,17 +10,25 @@
    pairs in proportion to its members, not to their square.
 4. Connected candidates form groups, which hold every pair over the threshold that shares
    a bucket. Within a group full sets are compared exactly, in blocks of bounded size, as
-   products of 0/1 matrices; a block pair returns a spanning forest of its links.
+   products of 0/1 matrices; a block gives a spanning forest of its links. Groups of
+   several blocks go on with one set of each tree, as long as their number halves; then
+   trees are joined by an exact prefix filter: of any two sets over the threshold both
+   hold one of the other's rarest shingles, and only sets of different trees that share
+   such a one are compared. So near texts by the thousand cost what their forest costs,
+   and texts that share a frame alone meet in their rare shingles or not at all.
 5. Components of the links; each document gets the smallest id it reaches.
 
-A pair at 0.8 shares no band with probability 5e-8 (32 bands of 4 rows).
+A pair at 0.8 shares no band with probability 5e-8 (32 bands of 4 rows). If one of the two
+has left a bucket that both were in, the other is a candidate of the same leader: with
+the leader at 0.75 to the first, it has 0.55 or more to the second, whose estimate falls
+below 0.3 with probability 6e-8.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -28,11 +36,11 @@ from .shared import free, raw_texts, slices, stored, with_arrow_columns
 
 BANDS, ROWS, BITS = 32, 4, 4
 #: Estimates at which a pair is a candidate, and at which a member leaves a bucket.
-LOOSE, TIGHT = 0.3, 0.65
+LOOSE, TIGHT = 0.3, 0.75
 #: Leaders of a bucket before what is left of it counts as candidates of one another as it is.
 LEADERS = 4
 #: Members and shingles of a block.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 22
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 22
 #: Rows below which the members' ids are broadcast (8 bytes each) instead of shuffling the texts.
 BROADCAST_MEMBERS = 1 << 20
 
@@ -206,46 +214,112 @@ def linked(sets: list[np.ndarray], ids: list[int], share: tuple[int, int]) -> li
     return sorted({(ids[i], ids[find(i)]) for i in range(m) if ids[i] != ids[find(i)]})
 
 
-def confirmed_links(docs: DataFrame, members: DataFrame, n_members: int, id_col: str, text_col: str, size: int, share: tuple[int, int]) -> DataFrame:
-    """u, v, whole: a spanning forest of exact links in every candidate group. members: id, component, n.
-
-    whole: whether the group was one block, so that v is already its component's root.
-    """
-    groups = members.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    placed = stored(members.join(groups, "component").select(F.col("id").alias("_id"), "component", blocks.alias("blocks")), "members")
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
-    side = F.broadcast(placed) if n_members <= BROADCAST_MEMBERS else placed
-    found = texts.join(side, F.col("id") == F.col("_id")).select("id", "text", "component", "blocks")
-
-    def start():
-        return lambda part: (pa.array([shingles(t, size).tobytes() for t in raw_texts(part, "text")], pa.binary()),)
-
-    sets = with_arrow_columns(found, "shingles binary", start, size_column="text").drop("text")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.select("component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "id", (F.col("blocks") == 1).alias("whole"), "shingles")
-    dealt = sets.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "id")
+def _forests(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """u, v: a spanning forest of the exact links in every block. sets: component, block, id, shingles."""
+    dealt = sets.select("component", "block", "id", "shingles").repartition("component", "block").sortWithinPartitions("component", "block", "id")
 
     def confirm(batches):
-        key, ids, found, whole = None, [], [], False
+        key, ids, found = None, [], []
 
         def out():
             links = linked(found, ids, share) if len(ids) > 1 else []
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64()), pa.array([whole] * len(links))], names=["u", "v", "whole"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["u", "v"])
 
         for batch in batches:
             for part in slices(batch, "shingles"):
-                for c, a, b, i, w, s in zip(*[x.to_pylist() for x in part.columns], strict=True):
-                    if (c, a, b) != key:
+                for c, b, i, s in zip(*[x.to_pylist() for x in part.columns], strict=True):
+                    if (c, b) != key:
                         yield from out()
-                        key, ids, found, whole = (c, a, b), [], [], w
+                        key, ids, found = (c, b), [], []
                     ids.append(i)
                     found.append(np.frombuffer(s, "<u8"))
         yield from out()
 
-    return dealt.mapInArrow(confirm, "u long, v long, whole boolean")
+    return dealt.mapInArrow(confirm, "u long, v long")
+
+
+def _blocks(c, total):
+    return F.greatest(F.ceil(c / BLOCK_MEMBERS), F.ceil(total / BLOCK_SHINGLES)).cast("int")
+
+
+def _tree_links(sets: DataFrame, trees: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """u, v: all links between sets of different trees of a component, by the prefix filter.
+
+    sets: component, id, n, shingles; trees: node and component (its tree's root).
+    """
+    num, den = share
+    labelled = sets.join(trees.select(F.col("node").alias("id"), F.col("component").alias("root")), "id", "left").withColumns({"tree": F.coalesce("root", "id"), "set": F.xxhash64("shingles")}).drop("root")
+    several = labelled.groupBy("component").agg(F.min("tree").alias("lo"), F.max("tree").alias("hi")).where("lo < hi").select("component")
+    labelled = stored(labelled.join(several, "component", "left_semi"), "trees")
+
+    def tokens(batches):
+        for batch in batches:
+            for part in slices(batch, "shingles", most_bytes=1 << 20):
+                component, i, own, n, tree, s = part.columns
+                at = np.repeat(np.arange(part.num_rows), n.to_numpy())
+                flat = np.concatenate([np.frombuffer(x, "<i8") for x in s.to_pylist()])
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at)) for c in (component, i, own, n, tree)], pa.array(flat)], names=["component", "id", "set", "n", "tree", "tok"])
+
+    toks = labelled.select("component", "id", "set", "n", "tree", "shingles").mapInArrow(tokens, "component long, id long, set long, n long, tree long, tok long")
+    held = toks.groupBy("component", "tok").agg(F.count(F.lit(1)).alias("c"), F.min("tree").alias("lo"), F.max("tree").alias("hi"))
+    rarest = F.row_number().over(Window.partitionBy("id", "set").orderBy("c", "tok"))
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    first = stored(toks.join(held, ["component", "tok"]).withColumn("r", rarest).where((F.col("r") <= prefix) & (F.col("lo") < F.col("hi"))).select("component", "tok", "id", "n", "tree"), "rare-shingles")
+    other = first.select("component", "tok", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("tree").alias("tree2"))
+    pairs = first.join(other, ["component", "tok"]).where((F.col("tree") < F.col("tree2")) & (den * F.least("n", "n2") >= num * F.greatest("n", "n2"))).select("id", "id2").distinct()
+    texts = labelled.select("id", "shingles")
+    both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("id2"), F.col("shingles").alias("shingles2")), "id2").select("id", "id2", "shingles", "shingles2")
+
+    def compare(batches):
+        for batch in batches:
+            for part in slices(batch, "shingles", most_bytes=1 << 20):
+                fits = []
+                for i, j, a, b in zip(*[x.to_pylist() for x in part.columns], strict=True):
+                    a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+                    inter = len(np.intersect1d(a, b, assume_unique=True))
+                    if den * inter >= num * (len(a) + len(b) - inter):
+                        fits.append((i, j))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in fits], pa.int64()), pa.array([y for _, y in fits], pa.int64())], names=["u", "v"])
+
+    return both.mapInArrow(compare, "u long, v long")
+
+
+def confirmed_links(docs: DataFrame, members: DataFrame, n_members: int, id_col: str, text_col: str, size: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame | None]:
+    """node and component of all exact links inside groups that are one block, and (or None) of those in larger groups.
+
+    members: id, component, n. Members of large groups are shuffled with their shingles
+    once a round, not once a block.
+    """
+    groups = members.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("total"))
+    placed = stored(members.join(groups, "component").select(F.col("id").alias("_id"), "component", F.col("n").alias("_n"), _blocks(F.col("c"), F.col("total")).alias("blocks")), "members")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
+
+    def start():
+        return lambda part: (pa.array([shingles(t, size).tobytes() for t in raw_texts(part, "text")], pa.binary()),)
+
+    def sets(some: DataFrame) -> DataFrame:
+        side = F.broadcast(some) if n_members <= BROADCAST_MEMBERS else some
+        found = texts.join(side, F.col("id") == F.col("_id")).select(F.col("id").cast("long").alias("id"), "text", "component")
+        made = with_arrow_columns(found, "shingles binary", start, size_column="text").drop("text")
+        return made.withColumn("n", F.expr("octet_length(shingles) div 8"))
+
+    small = stored(_forests(sets(placed.where("blocks = 1")).withColumn("block", F.lit(0)), share), "links").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    large = placed.where("blocks > 1")
+    if not large.limit(1).count():
+        return small, None
+    every = stored(sets(large).dropDuplicates(["id", "shingles"]), "large-groups")
+    left, links, turn, n, before = every, None, 0, every.count(), None
+    while before is None or 2 * n <= before:
+        sizes = left.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("total"))
+        sizes = sizes.select("component", _blocks(F.col("c"), F.col("total")).alias("blocks"))
+        dealt = left.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("blocks")).cast("int"))
+        found = stored(_forests(dealt, share), "block-links")
+        links = found if links is None else links.unionAll(found)
+        left = stored(left.join(found.select(F.col("u").alias("id")).distinct(), "id", "left_anti").select(*left.columns), "roots")
+        before, n, turn = n, left.count(), turn + 1
+    links = links.unionAll(_tree_links(every, components(links, "trees-of-blocks"), share))
+    return small, components(links, "link-components")
 
 
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -256,7 +330,9 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     or without words have an empty set and are linked with nothing. Documents are linked if
     their sets' Jaccard similarity is share[0] / share[1] or more; kept: whether the
     component's id is the row's own. Rows that share an id are each judged by their own
-    text. Rows without an id take no part: component_id null, kept true.
+    text. Rows without an id take no part: component_id null, kept true. Texts of any
+    length are taken whole. An empty table gives an empty table; columns of docs besides
+    the two are ignored, whatever their names.
     """
     prints = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
     full = prints.where("id IS NOT NULL AND n > 0")
@@ -267,11 +343,8 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lone = groups.select(F.col("component").alias("id")).distinct().withColumn("component", F.col("id"))
     members = groups.select(F.col("node").alias("id"), "component").unionAll(lone)
     members = stored(members.join(sets.groupBy("id").agg(F.max("n").alias("n")), "id"), "grouped")
-    links = stored(confirmed_links(docs, members, members.count(), id_col, text_col, size, share), "links")
-    final = links.where("whole").select(F.col("u").alias("node"), F.col("v").alias("component"))
-    more = links.where("NOT whole").select("u", "v")
-    if more.limit(1).count():
-        final = final.unionAll(components(more, "link-components"))
+    final, more = confirmed_links(docs, members, members.count(), id_col, text_col, size, share)
+    final = final if more is None else final.unionAll(more)
     classes = reps.join(final, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     placed = prints.select("id", "h", "n", "d1", "d2").join(stored(classes, "classes"), ["d1", "d2"], "left")
     own = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id")))

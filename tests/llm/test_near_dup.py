@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.llm import components as components_module
 from quillspark.llm import near_dup
 from quillspark.llm.components import components
 from quillspark.llm.near_dup import drop_near_duplicates, duplicate_classes, linked, minima, shingles, similarity
@@ -53,9 +54,10 @@ def corpus(seed, groups=12, most=14):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "broadcast"), [(512, 1 << 20), (3, 1 << 20), (4, 0)])
+def test_against_brute_force(spark, monkeypatch, block, broadcast):
     monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(near_dup, "BROADCAST_MEMBERS", broadcast)
     docs = corpus(3) + [(1000, None), (1001, ""), (1002, " \n"), (1003, "one"), (1004, "ONE"), (1005, "a b c d e"), (1006, "far " * 30_000)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = {r.id: (r.n_shingles, r.component_id) for r in duplicate_classes(df).collect()}
@@ -112,3 +114,29 @@ def test_components(spark):
         root[max(p, q)] = min(p, q)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: find(i) for i in root if find(i) != i}
+
+
+def test_large_groups(spark, monkeypatch):
+    """Thousands of near texts of two kinds, and as many that share a frame alone, are one candidate group of many blocks."""
+    rng = random.Random(11)
+    monkeypatch.setattr(near_dup, "LOOSE", -1.0)  # whatever shares a bucket is in a group
+    frame = [f"f{i}" for i in range(60)]
+    near = [frame + [f"{k}{i}" for i in range(60)] for k in "ab"]
+    docs = []
+    for i in range(3_000):
+        t = list(near[i % 2])
+        t[rng.randrange(60, 115)] = f"x{i}"
+        docs.append((i, " ".join(t)))
+    docs += [(10_000 + i, " ".join(frame + [f"own{i}w{j}" for j in range(40)])) for i in range(1_500)]
+    docs += [(20_000 + i, " ".join(frame + [f"own{i}w{j}" for j in range(39)] + ["end"])) for i in range(700)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.id: r.component_id for r in duplicate_classes(df).collect()}
+    assert {got[i] for i in range(0, 3_000, 2)} == {0} and {got[i] for i in range(1, 3_000, 2)} == {1}
+    assert all(got[10_000 + i] == 10_000 + i for i in range(1_500)) and all(got[20_000 + i] == 10_000 + i for i in range(700))
+
+
+def test_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "HUB", 5)
+    edges = [(0, i) for i in range(1, 60)] + [(i, 100 + i) for i in range(1, 40)] + [(300, 400 + i) for i in range(50)] + [(400, 500)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 if i < 300 else 300 for e in edges for i in e if i not in (0, 300)}
