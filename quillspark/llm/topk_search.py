@@ -2,13 +2,16 @@
 
 Vectors are turned to integers, ordered by length and packed into buckets of bounded
 rows; queries are packed into blocks likewise. The bucket of the longest vectors (one,
-of bounded size) gives every query a first lower bound for its k-th score. Then each
-block meets each bucket that its bounds do not rule out, by an equi-join on the bucket's
-number. In a bucket a query's bound and the bucket's longest vector give a local cosine
-threshold: above 1 the query skips the bucket; from ``coordinate_from`` on, candidates
-are pruned by the range that the threshold leaves them in the query's largest
-coordinates; below it, by length alone. What is left is verified by exact products.
-At most k rows leave a pair of block and bucket for each query.
+of bounded size) gives every query a first lower bound for its k-th score. Then blocks
+and buckets are dealt over a grid: a cell holds a group of blocks (of bounded bytes) and
+meets every so-manieth bucket, the longer ones first. So a bucket moves once for a group
+of blocks, and a block once for a column, not once a pair; buckets that are too short for
+a whole group are not sent to it at all. In a bucket a query's bound and the bucket's
+longest vector give a local cosine threshold: above 1 the query skips the bucket; from
+``coordinate_from`` on, candidates are pruned by the range that the threshold leaves them
+in the query's largest coordinates; below it, by length alone. What is left is verified by
+exact products. The k-th best score found so far in a cell raises the query's bound for
+the next bucket; at most k rows leave a cell for each query.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from .shared import ship, stored
 
 #: Rows of a bucket and of a block.
 BUCKET, BLOCK = 2048, 512
+#: Bytes of the vectors of a group of blocks, and cells of the grid for each slot of the cluster.
+GROUP_BYTES, CELLS_A_SLOT = 16 << 20, 3
 #: Coordinates that pruning looks at.
 FOCUS = 3
 _PACK = "part int, seq int, longest double, ids binary, dim int, kind string, data binary"
@@ -113,7 +118,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_pair(qids, q, theta, pids, p, k: int, coordinate_from: float):
-    """(query, candidate, score) of every query's best k in one bucket at its bound theta or above."""
+    """(place of query, candidates, scores) of every query's best k in one bucket at its bound theta or above."""
     qn, pn = np.sqrt((q * q).sum(1)), np.sqrt((p * p).sum(1))
     slack = 1 - 1e-9
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -126,7 +131,7 @@ def search_pair(qids, q, theta, pids, p, k: int, coordinate_from: float):
         if len(ok):
             some, got = among[ok], scores[ok]
             best = _best(pids[some], got, k)
-            out.append((np.full(len(best), qids[i]), pids[some][best], np.array([int(x) for x in got[best]], dtype=np.int64)))
+            out.append((i, pids[some][best], np.array([int(x) for x in got[best]], dtype=np.int64)))
 
     by_length = np.flatnonzero((local <= 1) & (local < coordinate_from))
     if len(by_length):
@@ -162,7 +167,8 @@ def top_k(
     part. Shorter vectors count as filled with zeros. Ties go to the smaller id. Rows
     with a query's own id are not its candidates; a query id that repeats is asked once,
     with the vector that orders first; candidates that repeat each count. Products
-    beyond 64 bits are clipped before they are ranked. Other columns are ignored.
+    beyond 64 bits are clipped before they are ranked. Empty tables, of vectors or of
+    queries, give an empty table. Other columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -190,23 +196,53 @@ def top_k(
 
     blocks = blocks.withColumnRenamed("number", "block").withColumnRenamed("longest", "q_longest")
     blocks = stored(blocks.mapInArrow(bounds, "block int, q_longest double, ids binary, dim int, kind string, data binary, theta binary, least double"), "blocks")
-    marks = buckets.select("number", "longest")
-    pairs = blocks.select("block", "least", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("number")).join(marks, "number").where(F.col("least") * (1 - 1e-9) <= F.col("longest")).select("block", "number")
-    work = pairs.join(blocks.select("block", "theta", *[F.col(c).alias(f"q_{c}") for c in ("ids", "dim", "kind", "data")]), "block").join(buckets.drop("longest"), "number")
+    n_blocks, most = blocks.agg(F.count(F.lit(1)), F.max(F.octet_length("data") + F.octet_length("ids"))).first()
+    if not n_blocks:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    rows = -(-n_blocks // max(1, GROUP_BYTES // most))
+    columns = max(1, min(n, -(-CELLS_A_SLOT * spark.sparkContext.defaultParallelism // rows)))
+    groups = blocks.groupBy(F.pmod("block", F.lit(rows)).alias("row")).agg(F.min("least").alias("least"))  # a row for thousands of queries
+    payload = ["ids", "dim", "kind", "data"]
+    cells = blocks.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))).select(F.pmod("block", F.lit(rows)).alias("row"), "column", F.lit(-1).alias("number"), *payload, "theta")
+    wanted = buckets.select("number", "longest").join(F.broadcast(groups), F.col("least") * (1 - 1e-9) <= F.col("longest")).select("number", "row")
+    sent = buckets.drop("longest").join(wanted, "number").select("row", F.pmod("number", F.lit(columns)).alias("column"), "number", *payload, F.lit(None).cast("binary").alias("theta"))
+    dealt = cells.unionAll(sent).repartition(rows * columns, "row", "column").sortWithinPartitions("row", "column", "number")
 
     def search(batches):
+        cell, held = None, []
+
+        def out():
+            for qids, _, _, best in held:
+                some = [(q, *b) for q, b in zip(qids.tolist(), best, strict=True) if b is not None]
+                if some:
+                    lengths = [len(ids) for _, ids, _ in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in some], lengths), pa.int64()), *[pa.array(np.concatenate([x[j] for x in some]), pa.int64()) for j in (1, 2)]], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                qids, q = _unpacked({c: row[f"q_{c}"] for c in ("ids", "dim", "kind", "data")})
-                pids, p = _unpacked(row)
-                dim = max(q.shape[1], p.shape[1])
-                q, p = (np.pad(x, ((0, 0), (0, dim - x.shape[1]))) for x in (q, p))
-                out = search_pair(qids, q, np.frombuffer(row["theta"], "<f8"), pids, p, k, coordinate_from)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
-
-    found = work.mapInArrow(search, "query_id long, vec_id long, score long")
+                if (row["row"], row["column"]) != cell:
+                    yield from out()
+                    cell, held = (row["row"], row["column"]), []
+                ids, m = _unpacked(row)
+                if row["number"] < 0:
+                    held.append((ids, m, np.frombuffer(row["theta"], "<f8").copy(), [None] * len(ids)))
+                    continue
+                for qids, q, theta, best in held:
+                    dim = max(q.shape[1], m.shape[1])
+                    q, p = (np.pad(x, ((0, 0), (0, dim - x.shape[1]))) for x in (q, m))
+                    for j, pids, scores in search_pair(qids, q, theta, ids, p, k, coordinate_from):
+                        if best[j] is not None:
+                            pids, scores = np.concatenate([best[j][0], pids]), np.concatenate([best[j][1], scores])
+                            order = _best(pids, scores, k)
+                            pids, scores = pids[order], scores[order]
+                        best[j] = pids, scores
+                        if len(pids) == k:  # never above the score itself: a float64 may round up
+                            bound = float(scores[-1])
+                            theta[j] = max(theta[j], bound if abs(bound) < _EXACT else np.nextafter(bound, -np.inf))
+        yield from out()
+
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

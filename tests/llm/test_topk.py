@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.llm import topk_search
 from quillspark.llm.topk_search import top_k
 
 
@@ -21,8 +22,9 @@ def brute(rows, k):
 
 
 @pytest.mark.parametrize("coordinate_from", [0.0, 0.8, 2.0])
-@pytest.mark.parametrize("spread", [0.0, 1.0])
-def test_against_brute_force(spark, coordinate_from, spread):
+@pytest.mark.parametrize(("spread", "group_bytes"), [(0.0, 16 << 20), (1.0, 1_000)])
+def test_against_brute_force(spark, monkeypatch, coordinate_from, spread, group_bytes):
+    monkeypatch.setattr(topk_search, "GROUP_BYTES", group_bytes)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(8, 12))
     rows = []
@@ -41,6 +43,7 @@ def test_small_and_huge(spark):
     schema = "vec_id long, embedding array<double>"
     assert top_k(spark.createDataFrame([], schema), F.col("vec_id") % 5 == 0).count() == 0
     assert top_k(spark.createDataFrame([(5, [1.0])], schema), F.col("vec_id") % 5 == 0).count() == 0
+    assert top_k(spark.createDataFrame([(6, [1.0]), (7, [2.0])], schema), F.col("vec_id") % 5 == 0).count() == 0
     rows = [(5, [1e30, 1.0]), (6, [1e30, 2.0]), (7, [-1e30, 3.0]), (8, [1e9, 1e9]), (10, [1.0, 3e8])]
     got = top_k(spark.createDataFrame(rows, schema), F.col("vec_id") % 5 == 0, k=3)
     assert sorted(map(tuple, got.collect())) == brute(rows, 3)
