@@ -4,8 +4,11 @@ Heuristic labellers vote good, bad or nothing on every document. Expectation
 maximisation over the counts of vote patterns (all documents; at most 3**labellers
 patterns) estimates how often each labeller votes what for good and for bad documents,
 and gives each pattern a posterior. Those posteriors are the soft labels of a linear
-scorer over hashed shapes of words and of pairs of words, fit on a bounded sample
-(``train_rows``); the scorer judges every document on its whole text.
+scorer over hashed shapes of words and of pairs of words, fit on a bounded sample of
+different texts (``train_rows``); the scorer judges every document on its whole text.
+
+Texts are read three times (patterns; the sample's draw; scores) and never shuffled or
+written: features of all documents would be as large as the documents.
 """
 
 from __future__ import annotations
@@ -180,9 +183,11 @@ def judge(docs: DataFrame, text_col: str = "text", buckets: int = 1 << 14, train
     """docs with weak_bad (the label model's posterior), bad (the scorer's) and kept (bad < threshold).
 
     Null, empty and very short texts get no votes and few shapes: they stand at the prior
-    and are kept. Repeated rows are judged alike. An empty table gives an empty table.
-    Columns of docs that have one of the new names are replaced. The scorer is fit on
-    train_rows documents at most, drawn by a hash of their texts (all, if fewer).
+    and are kept. Repeated rows are judged alike. Texts of any length are looked at whole.
+    An empty table gives an empty table. Columns of docs that have one of the new names
+    are replaced, others pass through. The scorer is fit on train_rows different texts at
+    most, drawn by their hashes (all, if fewer): a text counts once, however many rows
+    hold it.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
@@ -191,7 +196,6 @@ def judge(docs: DataFrame, text_col: str = "text", buckets: int = 1 << 14, train
         return lambda rows: (pa.array([Looks(t).pattern() for t in raw_texts(rows, "text")], pa.int32()),)
 
     seen = with_arrow_columns(texts, "pattern int", start_patterns, size_column="text").groupBy("pattern").count().collect()  # at most 3**labellers rows
-    total = sum(r["count"] for r in seen)
     patterns, counts = np.array([r["pattern"] for r in seen], dtype=np.int64), np.array([r["count"] for r in seen], dtype=np.float64)
     posterior = dict(zip(patterns.tolist(), estimate(patterns, counts)[0].tolist(), strict=True))
 
@@ -203,11 +207,12 @@ def judge(docs: DataFrame, text_col: str = "text", buckets: int = 1 << 14, train
 
         return work
 
-    # Over-drawn twofold, then cut to the bound in the order of the hash.
-    slots = max(1, int(total // (2 * train_rows)))
-    drawn = texts.where(F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(slots)) == 0).withColumn("h", F.xxhash64(F.lit(13), "text"))
-    drawn = with_arrow_columns(drawn, "pattern int, at array<int>, x array<double>", start_features, size_column="text").select("h", "pattern", "at", "x")
-    sample = drawn.orderBy("h").limit(train_rows).collect()
+    # Over-drawn twofold, made distinct (with a map-side combine), then cut to the bound in the order of the hash.
+    texts_there = texts.agg(F.approx_count_distinct(F.xxhash64("text"), 0.01)).first()[0]
+    slots = max(1, int(texts_there // (2 * train_rows)))
+    drawn = texts.where(F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(slots)) == 0).groupBy(F.xxhash64(F.lit(13), "text").alias("h"), F.xxhash64(F.lit(17), "text").alias("h2")).agg(F.first("text").alias("text"))
+    drawn = drawn.orderBy("h", "h2").limit(train_rows)
+    sample = with_arrow_columns(drawn, "pattern int, at array<int>, x array<double>", start_features, size_column="text").select("pattern", "at", "x").collect()
     rows = sorted((list(r["at"]), list(r["x"]), posterior.get(r["pattern"], 0.5)) for r in sample)
     shared = spark.sparkContext.broadcast((posterior, *fit(rows, buckets)))
 
@@ -215,13 +220,14 @@ def judge(docs: DataFrame, text_col: str = "text", buckets: int = 1 << 14, train
         post, w, bias = shared.value
 
         def work(rows):
-            weak, bad = [], []
-            for t in raw_texts(rows, text_col):
-                looks = Looks(t)
-                z = bias + sum(w[k] * x for k, x in looks.features(buckets).items())
-                weak.append(post.get(looks.pattern(), 0.5))
-                bad.append(1 / (1 + np.exp(-min(50.0, max(-50.0, z)))))
-            return pa.array(weak, pa.float64()), pa.array(bad, pa.float64()), pa.array([b < threshold for b in bad])
+            looks = [Looks(t) for t in raw_texts(rows, text_col)]
+            weak = [post.get(x.pattern(), 0.5) for x in looks]
+            f = [x.features(buckets) for x in looks]
+            row = np.repeat(np.arange(len(f)), [len(x) for x in f])
+            at, x = np.fromiter((k for d in f for k in d), np.int64), np.fromiter((v for d in f for v in d.values()), np.float64)
+            z = bias + np.bincount(row, w[at] * x, minlength=len(f))  # a sparse matrix product a batch
+            bad = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            return pa.array(weak, pa.float64()), pa.array(bad), pa.array(bad < threshold)
 
         return work
 
