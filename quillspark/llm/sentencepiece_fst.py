@@ -4,7 +4,10 @@ A model is compiled to arrays once: the normaliser (dummy prefix, escaped spaces
 pieces with their weights, and byte fallback, an arc for each character that is no piece.
 Each input, cut into segments at borders that no piece crosses, is composed with them:
 the arcs of its lattice are found for all segments of a batch at once by rolling hashes.
-The path of least weight in the tropical semiring (min, +) is taken position by position.
+Segments are cut again wherever no arc of their own lattice crosses, as every path passes
+there. The path of least weight in the tropical semiring (min, +) is taken position by
+position, for all spans of like length at once; a long span alone, as of one character
+that repeats, is walked in plain Python over its arcs, in windows of bounded size.
 
 * Unigram models: an arc weighs its piece's negative log probability.
 * BPE models: arcs weigh nothing, but the lattice is further composed with an acceptor of
@@ -38,6 +41,8 @@ _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Segments by places of a batch of lattices.
 CELLS = 1 << 20
 NONE = -1
+#: Characters from which a span is walked alone, places of a window of it, and pairs of pieces remembered for it.
+ALONE, WINDOW, PAIRS = 512, 4096, 1 << 20
 
 
 def _fields(raw: bytes):
@@ -272,7 +277,6 @@ def _shortest(model: Model, segments: list[str]) -> list[bytes]:
     codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     sizes = np.array([len(s) for s in segments])
     starts = np.cumsum(sizes) - sizes
-    widest = int(sizes.max(initial=0))
     seg = np.repeat(np.arange(n), sizes)
     pos = np.arange(len(codes)) - starts[seg]
     # All arcs: at each place the hash grows by a character, as long as some piece may be that long.
@@ -288,20 +292,74 @@ def _shortest(model: Model, segments: list[str]) -> list[bytes]:
             h[here] = h[here] * _R + grown[here + (length - 1)]
             piece = model.find(h[here])
             if length == 1:
-                single = piece
                 hit = np.ones(len(here), dtype=bool)  # an unknown character is an arc to bytes
             else:
                 hit = piece != NONE
                 if model.kind == BPE:
                     hit &= model.left[piece] != NONE
-            found_at.append(here[hit])
-            found_to.append(here[hit] + length)
+            found_at.append(here[hit].astype(np.int32))
+            found_to.append((here[hit] + length).astype(np.int32))
             found_piece.append(piece[hit])
     if not found_at:
         return [b""] * n
     a, b, piece = np.concatenate(found_at), np.concatenate(found_to), np.concatenate(found_piece)
-    where, begin = seg[a], pos[a]
-    end = begin + (b - a)
+    # Borders: where a segment starts, and where no arc crosses.
+    crossing = np.bincount(a + 1, minlength=len(codes) + 1) - np.bincount(b, minlength=len(codes) + 1)
+    border = np.cumsum(crossing)[: len(codes)] == 0
+    border[starts[sizes > 0]] = True
+    begins = np.flatnonzero(border)
+    lengths = np.diff(np.append(begins, len(codes)))
+    span = np.cumsum(border) - 1
+    order = np.lexsort((a, b))
+    a, b, piece = a[order], b[order], piece[order]
+    at, what = [], []  # where each piece of the best paths begins, and which it is
+    for k in np.flatnonzero(lengths > ALONE).tolist():
+        first, last = begins[k], begins[k] + lengths[k]
+        x, y = np.searchsorted(b, (first, last), side="right")
+        inside = np.arange(x, y)[a[x:y] >= first]
+        where, which = _walk(model, a[inside] - first, b[inside] - first, piece[inside], int(lengths[k]))
+        at.append(where + first)
+        what.append(which)
+    bounds = []
+    for k in range(ALONE.bit_length()):  # spans of like length, as many as fit a table of bounded size
+        some = np.flatnonzero((lengths >= 1 << k) & (lengths < min(2 << k, ALONE + 1)))
+        most = max(1, CELLS // (2 << k))
+        bounds += [some[x : x + most] for x in range(0, len(some), most)]
+    for part in bounds:
+        mine = np.full(len(begins), NONE, dtype=np.int64)
+        mine[part] = np.arange(len(part))
+        inside = np.flatnonzero(mine[span[a]] != NONE)
+        offset = begins[span[a[inside]]]
+        where, which = _table(model, lengths[part], mine[span[a[inside]]], a[inside] - offset, b[inside] - offset, piece[inside])
+        rows, places = where
+        at.append(places + begins[part][rows])
+        what.append(which)
+    i, p = np.concatenate(at), np.concatenate(what)
+    order = np.argsort(i)
+    i, p = i[order], p[order]
+    rows, i = seg[i], i - starts[seg[i]]
+    dtype = id_type(len(model.surfaces))
+    ids = np.where(p == NONE, 0, model.order[p]).astype(dtype)
+    raw, width = ids.tobytes(), np.dtype(dtype).itemsize
+    ends = np.searchsorted(rows, np.arange(n), side="right") * width
+    begins = np.append(0, ends[:-1])
+    out = [raw[x:y] for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]
+    for k in np.unique(rows[p == NONE]).tolist():
+        mine, tokens = rows == k, []
+        for q, c in zip(p[mine].tolist(), i[mine].tolist(), strict=True):
+            if q != NONE:
+                tokens.append(int(model.order[q]))
+            elif model.fallback:
+                tokens += [model.byte_ids[x] for x in segments[k][c].encode("utf-8")]
+            elif not tokens or tokens[-1] != model.unknown:  # a run of unknown characters is one
+                tokens.append(model.unknown)
+        out[k] = np.array(tokens, dtype=dtype).tobytes()
+    return out
+
+
+def _table(model: Model, sizes: np.ndarray, where: np.ndarray, begin: np.ndarray, end: np.ndarray, piece: np.ndarray):
+    """Rows and places where the pieces of the shortest paths begin, and the pieces, of spans of like length and their arcs."""
+    n, widest = len(sizes), int(sizes.max(initial=0))
     order = np.lexsort((begin, end)) if model.kind == UNIGRAM else np.argsort(end, kind="stable")
     where, begin, end, piece = where[order], begin[order], end[order], piece[order]
     cuts = np.searchsorted(end, np.arange(1, widest + 2))
@@ -336,32 +394,55 @@ def _shortest(model: Model, segments: list[str]) -> list[bytes]:
     while len(rows):
         p, i = last[rows, at[rows]], back[rows, at[rows]]
         if (i == NONE).any():
-            raise AssertionError("a segment has no path")
+            raise AssertionError("a span has no path")
         steps.append((rows, p, i))
         at[rows] = i
         rows = rows[i > 0]
-    if not steps:
-        return [b""] * n
     rows, p, i = (np.concatenate([s[k] for s in steps]) for k in range(3))
-    order = np.lexsort((i, rows))
-    rows, p, i = rows[order], p[order], i[order]
-    dtype = id_type(len(model.surfaces))
-    ids = np.where(p == NONE, 0, model.order[p]).astype(dtype)
-    raw, width = ids.tobytes(), np.dtype(dtype).itemsize
-    ends = np.searchsorted(rows, np.arange(n), side="right") * width
-    begins = np.append(0, ends[:-1])
-    out = [raw[x:y] for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]
-    for k in np.unique(rows[p == NONE]).tolist():
-        mine, tokens = rows == k, []
-        for q, c in zip(p[mine].tolist(), i[mine].tolist(), strict=True):
-            if q != NONE:
-                tokens.append(int(model.order[q]))
-            elif model.fallback:
-                tokens += [model.byte_ids[x] for x in segments[k][c].encode("utf-8")]
-            elif not tokens or tokens[-1] != model.unknown:  # a run of unknown characters is one
-                tokens.append(model.unknown)
-        out[k] = np.array(tokens, dtype=dtype).tobytes()
-    return out
+    return (rows, i), p
+
+
+def _walk(model: Model, begin: np.ndarray, end: np.ndarray, piece: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one long span; arcs come by their ends. Pairs of pieces are judged a window at a time, each once."""
+    last, back = [NONE] * (size + 1), [NONE] * (size + 1)
+    back[0] = 0
+    cost = [0.0] + [float("inf")] * size
+    strange = float(model.weights.max(initial=0)) + 10.0
+    fits: dict[int, bool] = {}
+    n = len(model.order) + 1
+    for low in range(0, size, WINDOW):
+        x, y = np.searchsorted(end, (low, low + WINDOW), side="right")
+        b, e, p = begin[x:y], end[x:y], piece[x:y].astype(np.int64)
+        if model.kind == BPE:
+            # Any piece that ends where another begins: those of the window, and those of before that reach it.
+            x0 = int(np.searchsorted(end, low - model.longest, side="right"))
+            ends, left = end[x0:y], piece[x0:y].astype(np.int64)
+            start, stop = np.searchsorted(ends, b), np.searchsorted(ends, b, side="right")
+            counts = stop - start
+            total = int(counts.sum())
+            index = np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(total)
+            codes = np.unique((left[index] + 1) * n + np.repeat(p, counts) + 1)
+            if len(fits) > PAIRS:
+                fits.clear()
+            new = np.array([c for c in codes.tolist() if c not in fits], dtype=np.int64)
+            fits.update(zip(new.tolist(), may_stand_together(model, new // n - 1, new % n - 1).tolist(), strict=True))
+        weights = np.where(p == NONE, strange, model.weights[p]).tolist() if model.kind == UNIGRAM else ()
+        for k, (i, j, q) in enumerate(zip(b.tolist(), e.tolist(), p.tolist(), strict=True)):
+            if back[i] == NONE:
+                continue
+            if model.kind == UNIGRAM:
+                if cost[i] + weights[k] < cost[j]:
+                    cost[j], last[j], back[j] = cost[i] + weights[k], q, i
+            elif i == 0 or fits[(last[i] + 1) * n + q + 1]:
+                last[j], back[j] = q, i
+    where, which, at = [], [], size
+    while at > 0:
+        if back[at] == NONE:
+            raise AssertionError("a span has no path")
+        which.append(last[at])
+        at = back[at]
+        where.append(at)
+    return np.array(where[::-1], dtype=np.int64), np.array(which[::-1], dtype=np.int64)
 
 
 class Coder:

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import base64
 import random
+import time
 import zlib
 
 import numpy as np
@@ -74,3 +76,17 @@ def test_unigram_paths_are_shortest(tmp_path):
     texts = ["".join(rng.choice("aabb c\n") for _ in range(rng.randint(0, 12))) for _ in range(500)]
     for text, mine in zip(texts, coder.encode(texts), strict=True):
         assert np.frombuffer(mine, "<u2").tolist() == library.encode(text), text
+
+
+def test_long_texts_without_blanks():
+    """A megabyte without blanks takes seconds, also one character that repeats, and has the library's ids."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coder, library = Coder(compile_model(path)), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(1)
+    texts = [base64.b64encode(rng.randbytes(750_000)).decode(), "".join(rng.choice("0123456789abcdef") for _ in range(60_000)), "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(60_000))]
+    texts += [ch * 100_001 + "b" + ch * 600 for ch in "a=- é\n"] + ["abab" * 5_000, "".join(rng.choice("etaoin") for _ in range(60_000)), "the" * 700 + "\U0001f9ff" * 700]
+    began = time.time()
+    got = coder.encode(texts)
+    assert time.time() - began < 60
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == library.encode(text) and coder.decode(ids) == text
