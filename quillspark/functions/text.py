@@ -46,14 +46,15 @@ def analysed(text: Column, stop: list[str] | None = None) -> Column:
     return F.filter(terms, lambda w: ~F.array_contains(listed, w))
 
 
-def ngrams(content: Column) -> Column:
-    """P-05, P-06: array of (n, start, mention), by length and then place; repeats stay."""
+def ngrams(content: Column, most: int | None = None) -> Column:
+    """P-05, P-06: array of (n, start, mention), by length (up to most, if given) and then place; repeats stay."""
     w = words(content)
+    longest = F.size(w) if most is None else F.least(F.size(w), F.lit(most))
     grams = F.transform(
-        F.sequence(F.lit(1), F.size(w)),
+        F.sequence(F.lit(1), longest),
         lambda n: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(n.alias("n"), i.alias("start"), F.array_join(F.slice(w, i + 1, n), " ").alias("mention"))),
     )
-    return F.when(F.size(w) > 0, F.flatten(grams)).otherwise(F.array().cast("array<struct<n:int,start:int,mention:string>>"))
+    return F.when(longest > 0, F.flatten(grams)).otherwise(F.array().cast("array<struct<n:int,start:int,mention:string>>"))
 
 
 def freebase_id_to_uri(c: Column, strict: bool = True) -> Column:

@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import ngrams
+from quillspark.functions.text import ngrams, words
 from quillspark.sources.tables import shared_table
 
 ANNOTATED = ["facc09", "facc12"]
 
 
-def mentions(queries: DataFrame) -> DataFrame:
-    """M3: distinct n-grams of each query, with their length."""
-    return queries.select("q_id", F.explode(ngrams(F.col("q_content"))).alias("g")).select("q_id", "g.mention", "g.n").distinct()
+def mentions(queries: DataFrame, most: int | None = None) -> DataFrame:
+    """M3: distinct n-grams of each query (of most words, if given), with their length."""
+    return queries.select("q_id", F.explode(ngrams(F.col("q_content"), most)).alias("g")).select("q_id", "g.mention", "g.n").distinct()
 
 
 def commonness(surface_forms: DataFrame, predicates: list[str] | None = None) -> DataFrame:
@@ -33,26 +33,28 @@ def annotated_matches(grams: DataFrame, common: DataFrame, threshold: float | No
     return grams.join(common.where(F.col("commonness") >= (threshold or 0.0)).select(F.col("surface").alias("mention"), "en_id", "commonness"), "mention")
 
 
-def variant_matches(grams: DataFrame, surface_forms: DataFrame, common: DataFrame, matched: DataFrame) -> DataFrame:
+def variant_matches(grams: DataFrame, surface_forms: DataFrame, common: DataFrame, matched: DataFrame, annotated: list[str] | None = None) -> DataFrame:
     """J-05: entities of the other predicates that are not matched yet; commonness may be 0 and has no threshold."""
-    other = surface_forms.where(~F.col("predicate").isin(ANNOTATED)).select(F.col("surface").alias("mention"), "en_id").distinct()
+    other = surface_forms.where(~F.col("predicate").isin(annotated or ANNOTATED)).select(F.col("surface").alias("mention"), "en_id").distinct()
     found = grams.join(other, "mention").join(matched.select("q_id", "mention", "en_id"), ["q_id", "mention", "en_id"], "left_anti")
     known = common.select(F.col("surface").alias("mention"), "en_id", "commonness")
     return found.join(known, ["mention", "en_id"], "left").withColumn("commonness", F.coalesce("commonness", F.lit(0.0)))
 
 
-def candidates(queries: DataFrame, surface_forms: DataFrame, threshold: float | None = 0.1, kb: DataFrame | None = None, common: DataFrame | None = None) -> DataFrame:
+def candidates(queries: DataFrame, surface_forms: DataFrame, threshold: float | None = 0.1, kb: DataFrame | None = None, common: DataFrame | None = None, annotated: list[str] | None = None) -> DataFrame:
     """J-07, J-08, J-09: candidates of every mention; matches counts them before the filter on kb (en_id).
 
     What is used more than once (mentions, commonness, both kinds of matches) is written
     to the shared folder, so that the joins below it run once. common: commonness() of
-    the surface forms, if at hand.
+    the surface forms, if at hand. annotated: predicates whose counts make commonness;
+    ["anchor"] links by the anchors of a wiki and its titles and redirects (J-06).
     """
     spark = queries.sparkSession
-    grams = shared_table(spark, mentions(queries), "mentions")
-    common = common if common is not None else shared_table(spark, commonness(surface_forms), "commonness")
+    longest = surface_forms.agg(F.max(F.size(words(F.col("surface"))))).first()[0] or 0  # longer n-grams match nothing
+    grams = shared_table(spark, mentions(queries, longest), "mentions")
+    common = common if common is not None else shared_table(spark, commonness(surface_forms, annotated), "commonness")
     linked = shared_table(spark, annotated_matches(grams, common, threshold).select("q_id", "mention", "n", "en_id", "commonness"), "linked")
-    both = linked.unionByName(variant_matches(grams, surface_forms, common, linked).select("q_id", "mention", "n", "en_id", "commonness"))
+    both = linked.unionByName(variant_matches(grams, surface_forms, common, linked, annotated).select("q_id", "mention", "n", "en_id", "commonness"))
     both = shared_table(spark, both, "matches")
     counts = both.groupBy("q_id", "mention").agg(F.count(F.lit(1)).alias("matches"))
     out = both.join(counts, ["q_id", "mention"])
@@ -86,3 +88,13 @@ def instances(found: DataFrame) -> DataFrame:
 def add_match_order(df: DataFrame, keys: list[str]) -> DataFrame:
     """The total order of ties: score falling, then mention, then entity."""
     return df.withColumn("order", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "mention", "en_id")))
+
+
+def lookup(keys: DataFrame, key: str, pairs: DataFrame, value: str) -> DataFrame:
+    """J-12: keys with the value that pairs (key, value) have for them, null if none."""
+    return keys.join(pairs.select(key, value), key, "left")
+
+
+def with_redirects(keys: DataFrame, key: str, redirects: DataFrame) -> DataFrame:
+    """J-12: keys with is_redirect; redirects: one column of that name."""
+    return keys.join(redirects.select(key).distinct().withColumn("_r", F.lit(True)), key, "left").withColumn("is_redirect", F.coalesce("_r", F.lit(False))).drop("_r")

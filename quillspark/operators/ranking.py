@@ -60,10 +60,12 @@ def best_of(df: DataFrame, k: int, score: str = "score", tie: str = "doc_id") ->
 def folds(keys: DataFrame, key: str, k: int, seed: int = 7) -> DataFrame:
     """W-06: distinct keys dealt to k folds in a pseudo-random order that depends on key and seed alone.
 
-    k = -1 leaves one out: every key is its own fold. The order is arithmetic on a
-    numeric key, so that other engines agree. Fold sizes differ by one at most.
+    k = -1 leaves one out: every key is its own fold. Keys are of any type; the order is
+    that of 28 bits of the MD5 of seed and key, which other engines have too. Fold sizes
+    differ by one at most.
     """
-    mixed = F.pmod(F.col(key).cast("long") * F.lit(1103515245) + F.lit(seed * 12345), F.lit(2147483647))
+    text = F.concat(F.lit(f"{seed}-"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    mixed = F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long") * 8  # below 2**31, as numbered() wants
     one = numbered(keys.select(key).distinct(), mixed, key).withColumnRenamed("number", "fold")
     return one if k == -1 else one.withColumn("fold", F.pmod("fold", F.lit(k)).cast("int"))
 

@@ -25,13 +25,18 @@ class Index:
     fields: DataFrame
     n_docs: int | None = None
 
+    @classmethod
+    def read(cls, spark, path: str) -> Index:
+        """K-14: a written index."""
+        return cls(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "terms", "fields")])
+
     def write(self, path: str) -> Index:
         """K-14: the tables as Parquet, postings in the order of their terms; gives the written index."""
         spark = self.postings.sparkSession
         self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         for name in ("lengths", "terms", "fields"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        return Index(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "terms", "fields")])
+        return Index.read(spark, path)
 
 
 def build_index(values: DataFrame, stop: list[str] | None = None) -> Index:
@@ -106,30 +111,34 @@ def _background(index: Index, terms: DataFrame, weights: DataFrame, lam: float)
     return used.join(total, ["q_id", "term"])
 
 
-def score_mixture(index: Index, queries: DataFrame, weights: dict[str, float], lam: float = 0.1, form: str = "likelihood", analyse: bool = True) -> DataFrame:
+def score_mixture(index: Index, queries: DataFrame, weights: dict[str, float], lam: float = 0.1, form: str = "likelihood", analyse: bool = True, within: DataFrame | None = None) -> DataFrame:
     """R-05, R-06, R-10, R-11, R-14, R-19: q_id, doc_id and score of documents with a term of the query.
 
-    form likelihood: sum of ln p over occurrences; nllr: exp of the normalised ratio;
+    form likelihood: sum of ln p over occurrences; probability: its exp (R-10); nllr: exp of the normalised ratio;
     log1p: sum of ln(1 + p) over terms. p = sum over fields of weight times the
-    Jelinek-Mercer estimate. Documents without any term have the background score only,
+    Jelinek-Mercer estimate. within: q_id and doc_id that alone are scored; postings of
+    others are left before anything is summed. Documents without any term have the background score only,
     which background_scores gives.
     """
     spark = queries.sparkSession
     back = _background(index, query_terms(queries, analyse), _weights(spark, weights), lam)
-    seen = back.join(index.postings, ["field", "term"]).join(index.lengths, ["doc_id", "field"])
+    seen = back.join(index.postings, ["field", "term"])
+    if within is not None:
+        seen = seen.join(within, ["q_id", "doc_id"], "left_semi")
+    seen = seen.join(index.lengths, ["doc_id", "field"])
     p = seen.groupBy("q_id", "doc_id", "term", "qtf", "q_len", "pc").agg(F.sum((1 - lam) * F.col("weight") * F.col("tf") / F.col("len")).alias("own"))
     share = F.col("own") + lam * F.col("pc")
-    gain = {"likelihood": F.col("qtf") * (F.ln(share) - F.ln(lam * F.col("pc"))), "nllr": F.col("qtf") / F.col("q_len") * (F.ln(share) - F.ln(lam * F.col("pc"))), "log1p": F.log1p(share) - F.log1p(lam * F.col("pc"))}[form]
+    gain = {"likelihood": F.col("qtf") * (F.ln(share) - F.ln(lam * F.col("pc"))), "probability": F.col("qtf") * (F.ln(share) - F.ln(lam * F.col("pc"))), "nllr": F.col("qtf") / F.col("q_len") * (F.ln(share) - F.ln(lam * F.col("pc"))), "log1p": F.log1p(share) - F.log1p(lam * F.col("pc"))}[form]
     gained = p.groupBy("q_id", "doc_id").agg(F.sum(gain).alias("gain"))
     scored = gained.join(background_scores(back, lam, form), "q_id")
     total = F.col("gain") + F.col("base")
-    return scored.select("q_id", "doc_id", (F.exp(total) if form == "nllr" else total).alias("score"))
+    return scored.select("q_id", "doc_id", (F.exp(total) if form in ("nllr", "probability") else total).alias("score"))
 
 
 def background_scores(back: DataFrame, lam: float, form: str) -> DataFrame:
     """q_id and base: the score of a document that has none of the terms, before exp for nllr."""
     one = back.select("q_id", "term", "qtf", "q_len", "pc").distinct()
-    value = {"likelihood": F.col("qtf") * F.ln(lam * F.col("pc")), "nllr": F.col("qtf") / F.col("q_len") * F.lit(lam).cast("double"), "log1p": F.log1p(lam * F.col("pc"))}[form]
+    value = {"likelihood": F.col("qtf") * F.ln(lam * F.col("pc")), "probability": F.col("qtf") * F.ln(lam * F.col("pc")), "nllr": F.col("qtf") / F.col("q_len") * F.lit(lam).cast("double"), "log1p": F.log1p(lam * F.col("pc"))}[form]
     if form == "nllr":
         value = F.col("qtf") / F.col("q_len") * F.ln(F.lit(lam))
     return one.groupBy("q_id").agg(F.sum(value).alias("base"))
@@ -192,8 +201,8 @@ def two_pass(index: Index, queries: DataFrame, n_docs: int, weights: dict[str, f
     from quillspark.operators.ranking import best_of
 
     some = best_of(score_tfidf(index, queries, n_docs).withColumn("score", F.round("score", 6)), first).select("q_id", "doc_id")
-    again = score_mixture(index, queries, weights, lam).withColumn("score", F.round("score", 6))
-    return best_of(again.join(some, ["q_id", "doc_id"], "left_semi"), keep)
+    some = shared_table(queries.sparkSession, some, "first-pass")
+    return best_of(score_mixture(index, queries, weights, lam, within=some).withColumn("score", F.round("score", 6)), keep)
 
 
 def context(content: Column, mention: Column) -> Column:
@@ -241,3 +250,39 @@ def context_similarity(index: Index, pairs: DataFrame, lam: float = 0.1) -> Data
     scored = asked.join(base, "q_id", "left").join(gained, ["q_id", "doc_id"], "left")
     sim = F.when(F.col("base").isNull(), 0.0).otherwise(F.exp(F.col("base") + F.coalesce("gain", F.lit(0.0))))
     return scored.select("q_id.q_id", "q_id.mention", "doc_id", sim.alias("context_sim"))
+
+
+def document_numbers(index: Index) -> DataFrame:
+    """R-17: number (from 0, in the order of the ids) and doc_id of every document of the index."""
+    from quillspark.sources.sinks import add_qids
+
+    return add_qids(index.lengths.select("doc_id").distinct(), "doc_id").select((F.col("qid") - 1).alias("number"), "doc_id")
+
+
+def document_terms(index: Index, ids: DataFrame | None = None) -> DataFrame:
+    """R-17: doc_id, field and terms (array of term, tf by term) of the documents of ids (doc_id), or of all."""
+    some = index.postings if ids is None else index.postings.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return some.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("terms"))
+
+
+def retrieve(spark, config) -> DataFrame:
+    """S-17, R-02, R-09: the run of a RetrievalConfig: a first pass by tf-idf, its documents scored by the model, the best with their ranks."""
+    from quillspark.operators.ranking import best_of
+    from quillspark.sources.tables import read_json_queries
+
+    index, queries = Index.read(spark, config.index_dir), read_json_queries(spark, config.query_file)
+    n_docs = index.lengths.select("doc_id").distinct().count()
+    first = best_of(score_tfidf(index, queries, n_docs, config.first_pass_field), config.first_pass_num_docs).select("q_id", "doc_id")
+    if config.model == "tfidf":
+        return best_of(score_tfidf(index, queries, n_docs, config.first_pass_field), config.num_docs)
+    first = shared_table(spark, first, "first-pass")
+    if config.model in ("lm", "mlm") and config.smoothing_method == "jm":
+        weights = {config.field: 1.0} if config.model == "lm" else config.field_weights
+        scored = score_mixture(index, queries, weights, config.smoothing_param, within=first)
+    elif config.model == "lm" and config.smoothing_method == "dirichlet":
+        scored = score_dirichlet(index, queries, config.field, config.smoothing_param if config.smoothing_param > 1 else None).join(first, ["q_id", "doc_id"], "left_semi")
+    elif config.model == "prms":
+        scored = score_prms(index, queries, config.smoothing_param).join(first, ["q_id", "doc_id"], "left_semi")
+    else:
+        raise ValueError(f"no model {config.model} with {config.smoothing_method} smoothing")
+    return best_of(scored, config.num_docs)

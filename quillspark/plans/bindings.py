@@ -1,44 +1,48 @@
 """How the driver's tables stand for the engine's inputs, in Spark and in SQL.
 
-Entities are parts (title p_name, knowledge-base snapshot p_size <= 25), surface counts
-are their line items, a query is what the dearest order of each nation's customers holds,
-the annotated corpus is suppliers in orders, the fielded index is over documents, and
-benchmark texts are retrieval queries.
+Entities are parts (title: name and number of the brand; knowledge-base snapshot p_size
+<= 25), surface counts are their line items, a query is what an order holds (every
+order), the annotated corpus is suppliers in orders, the fielded index is over whole
+documents (and their capitalised words), and whole benchmark texts are retrieval queries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import query_content
-from quillspark.sources.tables import shared_table
+from quillspark.functions.text import ANALYSER_STOP_WORDS, query_content
+from quillspark.sources.tables import shared_path, shared_table
 
 #: Commonness from which a mention links an entity.
 THRESHOLD = 0.03
 WEIGHTS = {"names": 0.2, "contents": 0.8}
-#: Fixed values shared by Spark and SQL.
-TERM_LIMIT = 5
+_INDEXES: dict = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def title() -> Column:
+    """A part's title, as it is written."""
+    return F.concat_ws(" ", "p_name", F.substring("p_brand", 7, 10))
+
+
 def queries(spark, sf) -> DataFrame:
-    w = Window.partitionBy("c_nationkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    best = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    held = best.select("c_nationkey", "o_orderkey").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name"))), lambda x: x["p_name"]), " ")
-    texts = held.groupBy("c_nationkey").agg(names.alias("text"))
-    return shared_table(spark, texts.select(F.concat(F.lit("n_"), F.col("c_nationkey").cast("string")).alias("q_id"), query_content(F.col("text")).alias("q_content")), "queries")
-
-
-Q = """top AS (
-  SELECT c_nationkey, o_orderkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders JOIN customer ON o_custkey = c_custkey
-), q AS (
-  SELECT 'n_' || c_nationkey AS q_id, lower(string_agg(p_name, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey)) AS q_content
-  FROM top JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE rn = 1 GROUP BY c_nationkey
+    """Every order: the titles of its parts in the order of its lines."""
+    parts = table(spark, sf, "part").select("p_partkey", title().alias("title"))
+    held = table(spark, sf, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "title"))), lambda x: x["title"]), " ")  # a few lines an order
+    texts = held.groupBy("l_orderkey").agg(names.alias("text"))
+    return shared_table(spark, texts.select(F.concat(F.lit("o_"), F.col("l_orderkey").cast("string")).alias("q_id"), query_content(F.col("text")).alias("q_content")), "queries")
+
+
+#: The same title in SQL.
+TITLE = "p_name || ' ' || substr(p_brand, 7)"
+Q = f"""q AS (
+  SELECT 'o_' || l_orderkey AS q_id, lower(string_agg({TITLE}, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey)) AS q_content
+  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey
 )"""
 GRAMS = """qw AS (
   SELECT q_id, q_content, string_split(q_content, ' ') AS w FROM q
@@ -53,16 +57,16 @@ GRAMS = """qw AS (
 
 
 def surface_forms(spark, sf) -> DataFrame:
-    parts = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("surface"))
+    parts = table(spark, sf, "part").select("p_partkey", F.lower(title()).alias("surface"))
     lines = table(spark, sf, "lineitem").groupBy("l_partkey", "l_linestatus").agg(F.count(F.lit(1)).alias("cnt"))
     linked = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("surface", F.when(F.col("l_linestatus") == "F", "facc09").otherwise("facc12").alias("predicate"), F.col("p_partkey").alias("en_id"), "cnt")
     return linked.unionByName(parts.select("surface", F.lit("<rdfs:label>").alias("predicate"), F.col("p_partkey").alias("en_id"), F.lit(1).cast("long").alias("cnt")))
 
 
-SF = """sf AS (
-  SELECT lower(p_name) AS surface, CASE WHEN l_linestatus = 'F' THEN 'facc09' ELSE 'facc12' END AS predicate, p_partkey AS en_id, count(*) AS cnt
+SF = f"""sf AS (
+  SELECT lower({TITLE}) AS surface, CASE WHEN l_linestatus = 'F' THEN 'facc09' ELSE 'facc12' END AS predicate, p_partkey AS en_id, count(*) AS cnt
   FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL
-  UNION ALL SELECT lower(p_name), '<rdfs:label>', p_partkey, 1 FROM part
+  UNION ALL SELECT lower({TITLE}), '<rdfs:label>', p_partkey, 1 FROM part
 )"""
 COMMON = """cm AS (
   SELECT surface, en_id, CAST(sum(cnt) AS BIGINT) AS cnt, CAST(sum(cnt) AS DOUBLE) / sum(sum(cnt)) OVER (PARTITION BY surface) AS commonness
@@ -103,21 +107,21 @@ def instances(spark, sf) -> DataFrame:
 def field_values(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents")
     text = F.coalesce("text", F.lit(""))
-    names = F.array_join(F.slice(F.split(text, " "), 1, 8), " ")
+    names = F.array_join(F.regexp_extract_all(text, F.lit("([A-Z][a-z]+)"), F.lit(1)), " ")
     parts = [docs.select("doc_id", F.lit("contents").alias("field"), text.alias("value")), docs.select("doc_id", F.lit("names").alias("field"), names.alias("value"))]
     return parts[0].unionAll(parts[1])
 
 
 def retrieval_queries(spark, sf) -> DataFrame:
-    """The first words of each benchmark text."""
+    """All words of each benchmark text."""
     w = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.array_join(F.slice(w, 1, TERM_LIMIT), " ").alias("q_content"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.array_join(w, " ").alias("q_content"))
 
 
-_STOP = "['a','an','and','are','as','at','be','but','by','for','if','in','into','is','it','no','not','of','on','or','such','that','the','their','then','there','these','they','this','to','was','will','with']"
+_STOP = str(ANALYSER_STOP_WORDS)
 INDEX = f"""vals AS (
   SELECT doc_id, 'contents' AS field, coalesce(text, '') AS value FROM documents
-  UNION ALL SELECT doc_id, 'names', array_to_string(string_split(coalesce(text, ''), ' ')[1:8], ' ') FROM documents
+  UNION ALL SELECT doc_id, 'names', array_to_string(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+'), ' ') FROM documents
 ), toks AS (
   SELECT doc_id, field, term FROM (SELECT doc_id, field, unnest(regexp_extract_all(lower(value), '[\\p{{L}}\\p{{N}}]+')) AS term FROM vals) WHERE NOT list_contains({_STOP}, term)
 ), post AS (
@@ -129,7 +133,7 @@ INDEX = f"""vals AS (
 ), flds AS (
   SELECT field, CAST(sum(len) AS BIGINT) AS clen, count(*) AS docs, avg(len) AS avg_len FROM lens GROUP BY ALL
 ), rq AS (
-  SELECT item_id AS q_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')[1:{TERM_LIMIT}] AS w FROM benchmark
+  SELECT item_id AS q_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark
 ), qall AS (
   SELECT q_id, unnest(w) AS term FROM rq
 ), qt0 AS (
@@ -142,9 +146,13 @@ INDEX = f"""vals AS (
 
 
 def index(spark, sf):
+    """The index of a session's tables, built and written once."""
     from quillspark.operators.retrieval import build_index
 
-    return build_index(field_values(spark, sf))
+    key = spark.sparkContext.applicationId, sf
+    if key not in _INDEXES:
+        _INDEXES[key] = build_index(field_values(spark, sf)).write(shared_path(spark, "index"))
+    return _INDEXES[key]
 
 
 def corpus(spark, sf) -> DataFrame:
@@ -152,13 +160,12 @@ def corpus(spark, sf) -> DataFrame:
 
 
 def supplier_sets(spark, sf) -> DataFrame:
-    """Sets of suppliers: those of each nation's three smallest keys, as interpretations to judge."""
-    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
-    return table(spark, sf, "supplier").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select(F.col("s_nationkey").alias("set_id"), F.col("s_suppkey").alias("en_id"))
+    """Sets of suppliers, as interpretations to judge: all, three by three in the order of their keys."""
+    return table(spark, sf, "supplier").select(F.floor(F.col("s_suppkey") / 3).cast("long").alias("set_id"), F.col("s_suppkey").alias("en_id"))
 
 
 SETS = """mem AS (
-  SELECT set_id, en_id FROM (SELECT s_nationkey AS set_id, s_suppkey AS en_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier) WHERE rn <= 3
+  SELECT CAST(s_suppkey // 3 AS BIGINT) AS set_id, s_suppkey AS en_id FROM supplier
 ), siz AS (
   SELECT set_id, count(*) AS n FROM mem GROUP BY ALL
 ), cor AS (

@@ -104,44 +104,49 @@ def tfidf_first_pass(spark, sf):
 
 
 @query(_top(f"""SELECT s.q_id, s.doc_id, s.score FROM (SELECT q_id, doc_id, sum(qtf * ln(pd)) AS score FROM ({_dense(B.WEIGHTS)}) WHERE pd > 0 GROUP BY ALL) s
-JOIN (SELECT q_id, doc_id FROM (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 6) DESC, doc_id) AS rn FROM ({_TFIDF})) WHERE rn <= 200) f ON f.q_id = s.q_id AND f.doc_id = s.doc_id"""))
+JOIN (SELECT q_id, doc_id FROM (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 6) DESC, doc_id) AS rn FROM ({_TFIDF})) WHERE rn <= 10000) f ON f.q_id = s.q_id AND f.doc_id = s.doc_id"""))
 def two_pass_retrieval(spark, sf):
     n = B.table(spark, sf, "documents").count()
     return S.two_pass(B.index(spark, sf), B.retrieval_queries(spark, sf), n, B.WEIGHTS).select("q_id", "doc_id", "rank", "score")
 
 
 _RQ = "SELECT q_id, array_to_string(w, ' ') AS c, w[1] AS m FROM rq"
+#: Documents that have a term of the query in their contents.
+_SEEN = "SELECT DISTINCT q_id, doc_id FROM qt JOIN post USING (term) WHERE field = 'contents'"
+
+
+def _seen(index, queries):
+    hits = S.query_terms(queries).join(index.postings.where("field = 'contents'"), "term")
+    return hits.select("q_id", "doc_id").distinct()
 
 
 @query(f"""WITH {B.INDEX}, ctx AS (SELECT q_id, m, trim(regexp_replace(substr(c, 1, instr(c, m) - 1) || substr(c, instr(c, m) + length(m)), ' +', ' ', 'g')) AS t FROM ({_RQ}) WHERE length(c) > 0),
 ct AS (SELECT q_id, m, unnest(string_split(t, ' ')) AS term, len(string_split(t, ' ')) AS q_len FROM ctx WHERE t <> ''), cq AS (SELECT q_id, m, term, q_len, count(*) AS qtf FROM ct GROUP BY ALL),
-d AS (SELECT ctx.q_id, m, doc_id FROM ctx JOIN documents ON doc_id = q_id OR doc_id = q_id + 1),
+d AS (SELECT ctx.q_id, m, doc_id FROM ctx JOIN ({_SEEN}) USING (q_id)),
 s AS (SELECT d.q_id, d.doc_id, exp(sum(CAST(qtf AS DOUBLE) / q_len * (ln(0.9e0 * coalesce(CAST(p.tf AS DOUBLE) / l.len, 0) + 0.1e0 * tm.ctf / f.clen) - ln(CAST(tm.ctf AS DOUBLE) / f.clen)))) AS v
 FROM cq JOIN terms tm ON tm.term = cq.term AND tm.field = 'contents' JOIN flds f ON f.field = 'contents' JOIN d ON d.q_id = cq.q_id LEFT JOIN post p ON p.term = cq.term AND p.field = 'contents' AND p.doc_id = d.doc_id
 LEFT JOIN lens l ON l.doc_id = d.doc_id AND l.field = 'contents' GROUP BY d.q_id, d.doc_id)
 SELECT d.q_id, d.m AS mention, d.doc_id, round(coalesce(s.v, 0), 6) AS context_sim FROM d LEFT JOIN s ON s.q_id = d.q_id AND s.doc_id = d.doc_id""")
 def context_sim(spark, sf):
-    """Each query against the documents of its own number and the next; the mention is the query's first word."""
+    """Each query against all documents that have a term of it; the mention is the query's first word."""
+    index = B.index(spark, sf)
     q = B.retrieval_queries(spark, sf).where("length(q_content) > 0").withColumn("mention", F.split("q_content", " ")[0])
-    pairs = q.withColumn("doc_id", F.explode(F.array(F.col("q_id"), F.col("q_id") + 1))).join(B.table(spark, sf, "documents").select("doc_id"), "doc_id")
-    return S.context_similarity(B.index(spark, sf), pairs).withColumn("context_sim", F.round("context_sim", 6))
+    return S.context_similarity(index, q.join(_seen(index, q), "q_id")).withColumn("context_sim", F.round("context_sim", 6))
 
 
-@query(f"""WITH {B.INDEX}, ms AS (SELECT b.item_id AS q_id, 's' AS set_id, d.doc_id FROM benchmark b JOIN documents d ON d.doc_id = b.item_id OR d.doc_id = b.item_id + 1),
-sz AS (SELECT q_id, set_id, count(*) AS n FROM ms GROUP BY ALL),
-pr AS (SELECT z.q_id, z.set_id, t.term, t.qtf, t.q_len, z.n, (SELECT sum(w.w * CAST(tm.ctf AS DOUBLE) / f.clen) FROM terms tm JOIN flds f USING (field) JOIN (VALUES ('names', 0.2e0), ('contents', 0.8e0)) w(field, w) USING (field) WHERE tm.term = t.term) AS pc,
-coalesce((SELECT sum(w.w * 0.9e0 * p.tf / l.len) FROM ms JOIN post p ON p.doc_id = ms.doc_id AND p.term = t.term JOIN lens l ON l.doc_id = p.doc_id AND l.field = p.field JOIN (VALUES ('names', 0.2e0), ('contents', 0.8e0)) w(field, w) ON w.field = p.field WHERE ms.q_id = z.q_id AND ms.set_id = z.set_id), 0) AS own
-FROM sz z JOIN wqt t ON t.q_id = z.q_id)
-SELECT sz.q_id, sz.set_id, round(coalesce(exp(sum(CAST(qtf AS DOUBLE) / q_len * (ln(own + sz.n * 0.1e0 * pc) - ln(pc)))), 0), 6) AS score FROM sz LEFT JOIN pr ON pr.q_id = sz.q_id AND pr.set_id = sz.set_id AND pc IS NOT NULL GROUP BY sz.q_id, sz.set_id""")
+@query(f"""WITH {B.INDEX}, ms AS (SELECT q_id, CAST(doc_id // 2 AS BIGINT) AS set_id, doc_id FROM ({_SEEN})), wt(field, w) AS (VALUES ('names', 0.2e0), ('contents', 0.8e0)),
+sz AS (SELECT q_id, set_id, count(*) AS n FROM ms GROUP BY ALL), bg AS (SELECT term, sum(w * CAST(ctf AS DOUBLE) / clen) AS pc FROM terms JOIN flds USING (field) JOIN wt USING (field) GROUP BY ALL),
+ow AS (SELECT ms.q_id, ms.set_id, t.term, sum(w * 0.9e0 * p.tf / l.len) AS own FROM ms JOIN wqt t ON t.q_id = ms.q_id JOIN post p ON p.doc_id = ms.doc_id AND p.term = t.term JOIN lens l ON l.doc_id = p.doc_id AND l.field = p.field JOIN wt ON wt.field = p.field GROUP BY ALL),
+pr AS (SELECT z.q_id, z.set_id, t.qtf, t.q_len, z.n, bg.pc, coalesce(ow.own, 0) AS own FROM sz z JOIN wqt t ON t.q_id = z.q_id JOIN bg ON bg.term = t.term LEFT JOIN ow ON ow.q_id = z.q_id AND ow.set_id = z.set_id AND ow.term = t.term)
+SELECT sz.q_id, sz.set_id, round(coalesce(exp(sum(CAST(qtf AS DOUBLE) / q_len * (ln(own + pr.n * 0.1e0 * pc) - ln(pc)))), 0), 6) AS score FROM sz LEFT JOIN pr ON pr.q_id = sz.q_id AND pr.set_id = sz.set_id GROUP BY sz.q_id, sz.set_id""")
 def set_sim(spark, sf):
-    """Each query against the set of two documents: of its own number, and the next."""
-    q = B.retrieval_queries(spark, sf)
-    ids = B.table(spark, sf, "documents").select("doc_id")
-    members = q.select("q_id", F.explode(F.array(F.col("q_id"), F.col("q_id") + 1)).alias("doc_id")).join(ids, "doc_id").select("q_id", F.lit("s").alias("set_id"), "doc_id")
-    return S.score_entity_sets(B.index(spark, sf), q, members, B.WEIGHTS).withColumn("score", F.round("score", 6))
+    """Each query against its documents, two by two in the order of their numbers."""
+    index, q = B.index(spark, sf), B.retrieval_queries(spark, sf)
+    members = _seen(index, q).select("q_id", F.floor(F.col("doc_id") / 2).cast("long").alias("set_id"), "doc_id")
+    return S.score_entity_sets(index, q, members, B.WEIGHTS).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {B.INDEX} SELECT doc_id FROM post WHERE field = 'contents' AND term IN ('of', 'then', 'er', 'en') GROUP BY doc_id HAVING count(*) = 2")
+@query(f"WITH {B.INDEX} SELECT doc_id FROM post WHERE field = 'contents' AND term IN ('er', 'en') GROUP BY doc_id HAVING count(*) = 2")
 def boolean_and(spark, sf):
     return S.documents_with(B.index(spark, sf), ["er", "en"])
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import candidates as C
@@ -33,24 +32,24 @@ def query(sql: str | None):
 # Features of mentions, entities and sets
 
 
-@query(f"""{B.ALL}, ti AS (SELECT lower(p_name) AS surface, count(*) AS n FROM part GROUP BY ALL), o AS (SELECT DISTINCT q_id, q_content, mention, n AS len, matches FROM cand),
+@query(f"""{B.ALL}, ti AS (SELECT lower({B.TITLE}) AS surface, count(*) AS n FROM part GROUP BY ALL), o AS (SELECT DISTINCT q_id, q_content, mention, n AS len, matches FROM cand),
 sub AS (SELECT mention, unnest(range(1, len + 1)) AS k, string_split(mention, ' ') AS w, len FROM (SELECT DISTINCT mention, len FROM o)), sg AS (SELECT mention, array_to_string(w[i + 1 : i + k], ' ') AS s FROM (SELECT *, unnest(range(0, len - k + 1)) AS i FROM sub)),
 sm AS (SELECT mention, CAST(sum(n) AS BIGINT) AS smil FROM sg JOIN ti ON s = surface GROUP BY mention)
 SELECT q_id, o.mention, CAST(len AS INTEGER) AS len, coalesce(ti.n, 0) AS ntem, coalesce(smil, 0) AS smil, matches, round(CAST(len AS DOUBLE) / len(string_split(q_content, ' ')), 6) AS len_ratio
 FROM o LEFT JOIN ti ON surface = o.mention LEFT JOIN sm ON sm.mention = o.mention""")
 def mention_features(spark, sf):
-    titles = B.table(spark, sf, "part").groupBy(F.lower("p_name").alias("surface")).agg(F.count(F.lit(1)).alias("n"))
+    titles = B.table(spark, sf, "part").groupBy(F.lower(B.title()).alias("surface")).agg(F.count(F.lit(1)).alias("n"))
     return X.mention_features(B.found(spark, sf), titles).withColumn("len_ratio", F.round("len_ratio", 6))
 
 
-@query(f"""{B.ALL}, f AS (SELECT q_id, q_content, mention, en_id, lower(p_name) AS t, lower(p_type || ' ' || p_brand || ' ' || p_name) AS ab FROM cand JOIN part ON p_partkey = en_id)
+@query(f"""{B.ALL}, f AS (SELECT q_id, q_content, mention, en_id, lower({B.TITLE}) AS t, lower(p_type || ' ' || p_brand || ' ' || p_name) AS ab FROM cand JOIN part ON p_partkey = en_id)
 SELECT q_id, mention, en_id, CAST(contains(mention, t) AS INTEGER) AS mct, CAST(contains(q_content, t) AS INTEGER) AS qct, CAST(contains(t, mention) AS INTEGER) AS tcm, CAST(contains(t, q_content) AS INTEGER) AS tcq,
 CAST(t = mention AS INTEGER) AS tem, CAST(t = q_content AS INTEGER) AS teq, CAST(CASE WHEN instr(ab, mention) > 0 THEN instr(ab, mention) - 1 ELSE 1000 END AS INTEGER) AS pos1 FROM f""")
 def title_match_features(spark, sf):
     parts = B.table(spark, sf, "part")
     both = B.found(spark, sf).join(parts, F.col("en_id") == F.col("p_partkey"))
     abstract = F.concat_ws(" ", "p_type", "p_brand", "p_name")
-    return both.select("q_id", "mention", "en_id", *[c.alias(n) for n, c in X.title_features(F.col("mention"), F.col("q_content"), F.col("p_name"), abstract).items()])
+    return both.select("q_id", "mention", "en_id", *[c.alias(n) for n, c in X.title_features(F.col("mention"), F.col("q_content"), B.title(), abstract).items()])
 
 
 @query("SELECT l_suppkey AS en_id, count(DISTINCT l_partkey) AS links FROM lineitem GROUP BY ALL")
@@ -93,49 +92,51 @@ def cooccurrence_features(spark, sf):
     return out.select("set_id", *[F.round(c, 6).alias(c) for c in ("j_corpora", "rel_mw", "p", "h")])
 
 
-# Disambiguation: the best entity of each mention and set enumeration over the top of them
+# Disambiguation: order-dependent folds over all instances, and set enumeration over the best five entities of a query
 
-_BEST = f"{B.ALL}, bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id, mention ORDER BY score DESC, en_id) AS rn FROM inst) WHERE rn <= 2)"
-
-
-def _best(spark, sf):
-    w = Window.partitionBy("q_id", "mention").orderBy(F.desc("score"), "en_id")
-    return B.instances(spark, sf).withColumn("rn", F.row_number().over(w)).where("rn <= 2").drop("rn")
+_FOLD = f"""{B.ALL}, o AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, mention, en_id) AS k FROM inst), mx AS (SELECT q_id, max(k) AS m FROM o GROUP BY ALL),
+st AS (SELECT q_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS kept, CAST([] AS BIGINT[]) AS ens, CAST([] AS DOUBLE[]) AS scores FROM mx
+UNION ALL SELECT st.q_id, o.k, CASE WHEN len(list_filter(kept, lambda y: contains(y, o.mention) OR contains(o.mention, y))) > 0 THEN kept ELSE list_append(kept, o.mention) END,
+CASE WHEN len(list_filter(kept, lambda y: contains(y, o.mention) OR contains(o.mention, y))) > 0 THEN ens ELSE list_append(ens, o.en_id) END,
+CASE WHEN len(list_filter(kept, lambda y: contains(y, o.mention) OR contains(o.mention, y))) > 0 THEN scores ELSE list_append(scores, o.score) END FROM st JOIN o ON o.q_id = st.q_id AND o.k = st.k + 1),
+left_ AS (SELECT st.q_id, kept, ens, scores FROM st JOIN mx ON mx.q_id = st.q_id AND mx.m = st.k)"""
 
 
-_FOLD = f"""{_BEST}, o AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, mention, en_id) AS k FROM bm)"""
+@query(f"WITH RECURSIVE {_FOLD.removeprefix('WITH ')} SELECT q_id, unnest(kept) AS mention, unnest(ens) AS en_id FROM left_")
+def greedy_containment(spark, sf):
+    return D.prune_containment(B.instances(spark, sf)).select("q_id", "mention", "en_id")
 
 
-@query(f"""WITH RECURSIVE {_FOLD.removeprefix("WITH ")}, mx AS (SELECT q_id, max(k) AS m FROM o GROUP BY ALL),
-st AS (SELECT q_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS kept, CAST([] AS BIGINT[]) AS ens FROM mx
-UNION ALL SELECT st.q_id, o.k, CASE WHEN len(list_filter(kept, lambda y: contains(y, o.mention) OR contains(o.mention, y))) > 0 THEN kept ELSE list_append(kept, o.mention) END,
-CASE WHEN len(list_filter(kept, lambda y: contains(y, o.mention) OR contains(o.mention, y))) > 0 THEN ens ELSE list_append(ens, o.en_id) END FROM st JOIN o ON o.q_id = st.q_id AND o.k = st.k + 1)
-SELECT st.q_id, unnest(kept) AS mention, unnest(ens) AS en_id FROM st JOIN mx ON mx.q_id = st.q_id AND mx.m = st.k""")
-def greedy_containment(spark, sf):
-    return D.prune_containment(_best(spark, sf)).select("q_id", "mention", "en_id")
+_APART = "NOT list_has_any(flatten(list_transform(s, lambda x: string_split(x.m, ' '))), string_split(g.m, ' '))"
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {_FOLD.removeprefix("WITH ")}, g AS (SELECT q_id, unnest(range(1, len(kept) + 1)) AS k, unnest(kept) AS m, unnest(ens) AS e, unnest(scores) AS v FROM left_), gm AS (SELECT q_id, max(k) AS m FROM g GROUP BY ALL),
+it AS (SELECT q_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(m VARCHAR, e BIGINT, v DOUBLE)[][]) AS sets FROM gm
+UNION ALL SELECT it.q_id, g.k, CASE WHEN len(list_filter(sets, lambda s: {_APART})) > 0 THEN list_transform(sets, lambda s: CASE WHEN {_APART} THEN list_append(s, {{'m': g.m, 'e': g.e, 'v': g.v}}) ELSE s END)
+ELSE list_append(sets, [{{'m': g.m, 'e': g.e, 'v': g.v}}]) END FROM it JOIN g ON g.q_id = it.q_id AND g.k = it.k + 1),
+fin AS (SELECT it.q_id, unnest(range(0, len(sets))) AS set_id, unnest(sets) AS s FROM it JOIN gm ON gm.q_id = it.q_id AND gm.m = it.k)
+SELECT q_id, CAST(set_id AS INTEGER) AS set_id, round(list_sum(list_transform(s, lambda x: x.v)) / len(s), 6) AS score, array_to_string(list_sort(list_distinct(list_transform(s, lambda x: CAST(x.e AS VARCHAR)))), '|') AS ens, '1' AS target FROM fin""")
 def greedy_interpretations(spark, sf):
-    """Order-dependent sets of sets; tests compare them with a small model."""
-    out = D.greedy(_best(spark, sf), 0.0)
-    return out.select("q_id", "set_id", F.round("score", 6).alias("score"), F.array_sort(F.map_keys("inter_set")).alias("ens"), "target")
+    """X-04, X-05."""
+    out = D.greedy(B.instances(spark, sf), 0.0)
+    return out.select("q_id", "set_id", F.round("score", 6).alias("score"), F.array_join(F.array_sort(F.map_keys("inter_set")), "|").alias("ens"), "target")
 
 
-_LEVELS = f"""{_BEST}, r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, mention, en_id) AS rk FROM bm), t AS (SELECT q_id, mention, en_id, score, commonness, string_split(mention, ' ') AS w FROM r WHERE rk <= 6),
-s1 AS (SELECT q_id, [mention] AS ms, [en_id] AS es, w AS ws, mention AS last FROM t),
-s2 AS (SELECT s.q_id, list_append(ms, t.mention) AS ms, list_append(es, t.en_id) AS es, list_concat(ws, t.w) AS ws, t.mention AS last FROM s1 s JOIN t ON t.q_id = s.q_id AND t.mention > s.last AND NOT list_has_any(s.ws, t.w) AND NOT list_contains(s.es, t.en_id)),
-s3 AS (SELECT s.q_id, list_append(ms, t.mention) AS ms, list_append(es, t.en_id) AS es, list_concat(ws, t.w) AS ws, t.mention AS last FROM s2 s JOIN t ON t.q_id = s.q_id AND t.mention > s.last AND NOT list_has_any(s.ws, t.w) AND NOT list_contains(s.es, t.en_id)),
-sets AS (SELECT q_id, ms, es FROM s1 UNION ALL SELECT q_id, ms, es FROM s2 UNION ALL SELECT q_id, ms, es FROM s3)"""
+#: The best five entities of a query after normalisation, and all their sets.
+_LEVELS = f"""WITH RECURSIVE {B.ALL.removeprefix("WITH ")}, lim AS (SELECT q_id, min(score) AS lo, max(score) AS hi FROM inst GROUP BY q_id), nrm AS (SELECT inst.* REPLACE (CASE WHEN lo = hi THEN 0.5e0 ELSE (inst.score - lo) / (hi - lo) END AS score) FROM inst JOIN lim ON lim.q_id = inst.q_id),
+o5 AS (SELECT *, row_number() OVER (PARTITION BY q_id, fb_id ORDER BY score DESC, mention, en_id) AS k5 FROM nrm), r5 AS (SELECT *, CAST(sum(CASE WHEN k5 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY q_id ORDER BY score DESC, mention, en_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS rank FROM o5),
+t AS (SELECT q_id, q_content, mention, n, en_id, fb_id, score, commonness, rank, string_split(mention, ' ') AS w FROM r5 WHERE rank <= 5),
+lv AS (SELECT q_id, [mention] AS ms, [en_id] AS es, w AS ws, mention AS last FROM t
+UNION ALL SELECT lv.q_id, list_append(ms, t.mention), list_append(es, t.en_id), list_concat(ws, t.w), t.mention FROM lv JOIN t ON t.q_id = lv.q_id AND t.mention > lv.last AND NOT list_has_any(lv.ws, t.w) AND NOT list_contains(lv.es, t.en_id)),
+sets AS (SELECT q_id, ms, es FROM lv)"""
 
 
 def _few(spark, sf):
-    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "mention", "en_id")
-    return shared_table(spark, _best(spark, sf).withColumn("rk", F.row_number().over(w)).where("rk <= 6").drop("rk"), "few")
+    return shared_table(spark, R.top_k(R.min_max(B.instances(spark, sf)), 5), "few")
 
 
 def _sets(spark, sf, few=None):
-    sets = D.entity_sets(few if few is not None else _few(spark, sf), 3)
+    sets = D.entity_sets(few if few is not None else _few(spark, sf))
     return sets.withColumn("ms", F.array_join(F.transform("members", lambda m: m["mention"]), "|")).withColumn("es", F.array_join(F.transform("members", lambda m: m["en_id"].cast("string")), "|"))
 
 
@@ -144,43 +145,51 @@ def interpretation_sets(spark, sf):
     return _sets(spark, sf).select("q_id", "ms", "es")
 
 
-_MEMB = f"{_LEVELS}, mb AS (SELECT q_id, array_to_string(ms, '|') AS ms, array_to_string(es, '|') AS es, unnest(ms) AS mention, unnest(es) AS en_id FROM sets), at AS (SELECT mb.*, t.score, len(t.w) AS m FROM mb JOIN t ON t.q_id = mb.q_id AND t.mention = mb.mention AND t.en_id = mb.en_id)".replace(", at AS", ", att AS")
+_MEMB = f"""{_LEVELS}, mb AS (SELECT q_id, array_to_string(ms, '|') AS ms, array_to_string(es, '|') AS es, unnest(ms) AS mention, unnest(es) AS en_id FROM sets),
+att AS (SELECT mb.*, t.q_content, t.fb_id, t.score, t.rank, t.commonness, len(t.w) AS m FROM mb JOIN t ON t.q_id = mb.q_id AND t.mention = mb.mention AND t.en_id = mb.en_id)"""
 
 
 def _members(spark, sf, few=None):
     few = few if few is not None else _few(spark, sf)
     flat = _sets(spark, sf, few).select("q_id", "ms", "es", F.explode("members").alias("m")).select("q_id", "ms", "es", "m.mention", "m.en_id")
-    return flat.join(few.select("q_id", "mention", "en_id", "score", "n"), ["q_id", "mention", "en_id"])
+    return flat.join(few.select("q_id", "q_content", "mention", "en_id", "fb_id", "score", "rank", "commonness", "n"), ["q_id", "mention", "en_id"])
 
 
-@query(f"{_MEMB} SELECT q_id, ms, es, min(score) AS score_min, max(score) AS score_max, round(avg(score), 9) AS score_avg FROM att GROUP BY ALL")
+@query(f"{_MEMB} SELECT q_id, ms, es, round(min(score), 9) AS score_min, round(max(score), 9) AS score_max, round(avg(score), 9) AS score_avg FROM att GROUP BY q_id, ms, es")
 def set_aggregates(spark, sf):
-    return D.aggregates(_members(spark, sf), ["score"], ["q_id", "ms", "es"]).withColumn("score_avg", F.round("score_avg", 9))
+    out = D.aggregates(_members(spark, sf), ["score"], ["q_id", "ms", "es"])
+    return out.select("q_id", "ms", "es", *[F.round(f"score_{n}", 9).alias(f"score_{n}") for n in ("min", "max", "avg")])
 
 
-@query(f"""{_MEMB} SELECT q_id, ms, es, round(sum(score * m), 6) AS wsum_men, round(sum(score * pow(m, m)), 6) AS wsum_men_pow, round(sum(m) * sum(score), 6) AS wsum_set_men,
-round(pow(sum(m), sum(m)) * sum(score), 6) AS wsum_set_men_pow FROM att GROUP BY ALL""")
+@query(f"""{_MEMB} SELECT q_id, ms, es, round(sum(score * m), 6) AS wsum_men, round(ln(1 + sum(score * pow(m, m))), 6) AS ln_wsum_men_pow, round(sum(m) * sum(score), 6) AS wsum_set_men,
+round(ln(1 + pow(sum(m), sum(m)) * sum(score)), 6) AS ln_wsum_set_men_pow FROM att GROUP BY q_id, ms, es""")
 def wsum_aggregates(spark, sf):
+    """The two sums with powers as logarithms, as they have more digits than a double."""
     out = D.weighted_sums(_members(spark, sf), "score", "n", ["q_id", "ms", "es"])
-    return out.select("q_id", "ms", "es", *[F.round(c, 6).alias(c) for c in ("wsum_men", "wsum_men_pow", "wsum_set_men", "wsum_set_men_pow")])
+    plain = [F.round(c, 6).alias(c) for c in ("wsum_men", "wsum_set_men")]
+    return out.select("q_id", "ms", "es", *plain, *[F.round(F.ln(1 + F.col(c)), 6).alias(f"ln_{c}") for c in ("wsum_men_pow", "wsum_set_men_pow")])
 
 
-@query(f"{_MEMB} SELECT q_id, ms, es, round(CAST(sum(m) AS DOUBLE) / len(string_split(q_content, ' ')), 6) AS len_ratio_set FROM att JOIN q USING (q_id) GROUP BY q_id, ms, es, q_content")
+@query(f"{_MEMB} SELECT q_id, ms, es, round(CAST(sum(m) AS DOUBLE) / len(string_split(q_content, ' ')), 6) AS len_ratio_set FROM att GROUP BY q_id, ms, es, q_content")
 def set_length_ratio(spark, sf):
-    m = _members(spark, sf).join(B.queries(spark, sf), "q_id").withColumn("set_id", F.struct("q_id", "ms", "es"))
+    m = _members(spark, sf).withColumn("set_id", F.struct("q_id", "ms", "es"))
     return X.set_length_ratio(m).select("set_id.*", F.round("len_ratio_set", 6).alias("len_ratio_set"))
 
 
-@query(f"""{_LEVELS} SELECT q_id, array_to_string(ms, '|') AS ms, len(list_distinct(flatten(list_transform(ms, lambda m: list_distinct(string_split(m, ' ')))))) <> len(flatten(list_transform(ms, lambda m: list_distinct(string_split(m, ' '))))) AS overlapping
-FROM (SELECT q_id, list(mention ORDER BY mention) AS ms FROM (SELECT DISTINCT q_id, mention FROM t) GROUP BY q_id)""")
+@query(f"""{B.ALL} SELECT q_id, array_to_string(ms, '|') AS ms, len(list_distinct(flatten(list_transform(ms, lambda m: list_distinct(string_split(m, ' ')))))) <> len(flatten(list_transform(ms, lambda m: list_distinct(string_split(m, ' '))))) AS overlapping
+FROM (SELECT q_id, list(mention ORDER BY mention) AS ms FROM (SELECT DISTINCT q_id, mention FROM cand) GROUP BY q_id)""")
 def mention_overlap(spark, sf):
-    ms = _few(spark, sf).groupBy("q_id").agg(F.array_sort(F.collect_set("mention")).alias("m"))
+    ms = B.found(spark, sf).groupBy("q_id").agg(F.array_sort(F.collect_set("mention")).alias("m"))
     return ms.select("q_id", F.array_join("m", "|").alias("ms"), D.overlapping(F.col("m")).alias("overlapping"))
 
 
-@query(None)
+_KEY = "string_agg(en_id || ':' || mention, '|' ORDER BY en_id || ':' || mention)"
+
+
+@query(f"""{_MEMB}, ky AS (SELECT q_id, ms, es, {_KEY} AS set_key FROM att GROUP BY q_id, ms, es)
+SELECT att.q_id, set_key, mention, en_id, fb_id, round(score, 6) AS score, rank, commonness FROM att JOIN ky ON ky.q_id = att.q_id AND ky.ms = att.ms AND ky.es = att.es""")
 def set_instances(spark, sf):
-    """Top-5 instances, normalised, and their sets with member attributes; compared with brute force in tests."""
+    """X-10, J-22: the best five entities, normalised, and their sets with member attributes."""
     out = D.set_instances(B.instances(spark, sf), 5)
     return out.select("q_id", "set_key", "mention", "en_id", "fb_id", F.round("score", 6).alias("score"), "rank", "commonness")
 
@@ -273,17 +282,13 @@ def cer_cv_set(spark, sf):
     return L.labelled(found, _truth(spark, sf, found)).select("q_id", "mention", "en_id", "target")
 
 
-_ISF = f"""{_LEVELS}, tk AS (SELECT q_id, mention, en_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, mention, en_id) AS rank FROM t),
-mb AS (SELECT q_id, ms, es, unnest(ms) AS mention, unnest(es) AS en_id FROM sets), sk AS (SELECT mb.q_id, ms, es, string_agg(mb.en_id || ':' || mb.mention, '|' ORDER BY mb.en_id || ':' || mb.mention) AS key, max(rank) AS worst FROM mb JOIN tk USING (q_id, mention, en_id) GROUP BY ALL),
+_ISF = f"""{_MEMB}, sk AS (SELECT q_id, ms, es, {_KEY} AS key, max(rank) AS worst FROM att GROUP BY q_id, ms, es),
 gold AS (SELECT q_id, min(key) AS key FROM sk WHERE contains(key, '|') GROUP BY q_id)
 SELECT sk.q_id, sk.key, CASE WHEN gold.key IS NULL THEN '0' ELSE '1' END AS target FROM sk LEFT JOIN gold ON gold.q_id = sk.q_id AND gold.key = sk.key WHERE gold.key IS NOT NULL OR worst <= 3"""
 
 
 def _set_keys(spark, sf):
-    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "mention", "en_id")
-    few = _few(spark, sf)
-    ranked = few.withColumn("rank", F.row_number().over(w)).select("q_id", "mention", "en_id", "rank")
-    return _members(spark, sf, few).join(ranked, ["q_id", "mention", "en_id"]).groupBy("q_id", "ms", "es").agg(L.set_key().alias("key"), F.max("rank").alias("worst")).select("q_id", "key", "worst")
+    return _members(spark, sf).groupBy("q_id", "ms", "es").agg(L.set_key().alias("key"), F.max("rank").alias("worst")).select("q_id", "key", "worst")
 
 
 @query(_ISF)

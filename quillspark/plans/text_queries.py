@@ -44,9 +44,9 @@ def ngrams(spark, sf):
     return B.queries(spark, sf).select("q_id", F.explode(T.ngrams(F.col("q_content"))).alias("g")).select("q_id", "g.n", "g.start", "g.mention")
 
 
-@query(f"WITH {B.INDEX} SELECT doc_id, term, tf FROM post WHERE field = 'names'")
+@query(f"WITH {B.INDEX} SELECT doc_id, field, term, tf FROM post")
 def analysed_terms(spark, sf):
-    return B.index(spark, sf).postings.where("field = 'names'").select("doc_id", "term", "tf")
+    return B.index(spark, sf).postings.select("doc_id", "field", "term", "tf")
 
 
 @query("""SELECT event_id, CASE WHEN position('_' IN id) > 0 THEN regexp_replace(id, '_[^_]*$', '') ELSE id END AS session
@@ -70,6 +70,26 @@ def wiki_uris(spark, sf):
     return parts.select("p_partkey", "uri", T.resolve_uri(F.col("uri")).alias("resolved"), T.is_dbpedia_uri(F.col("uri")).alias("is_entity"))
 
 
+@query("""SELECT p_partkey, '<wikipedia:' || p_name || '>' AS wiki, '<dbpedia:' || p_name || '>' AS entity, 'x<dbpedia:y>' AS other FROM part""")
+def wiki_prefixes(spark, sf):
+    """P-08: there and back; only a leading prefix is replaced."""
+    parts = B.table(spark, sf, "part").select("p_partkey", T.dbpedia_to_wiki(F.concat(F.lit("<dbpedia:"), "p_name", F.lit(">"))).alias("wiki"))
+    return parts.select("p_partkey", "wiki", T.wiki_to_dbpedia(F.col("wiki")).alias("entity"), T.dbpedia_to_wiki(F.lit("x<dbpedia:y>")).alias("other"))
+
+
+@query("""SELECT p_partkey, '1．5＄' || p_name AS key, '1.5$' || p_name AS plain FROM part""")
+def escaped_keys(spark, sf):
+    """P-13."""
+    parts = B.table(spark, sf, "part").select("p_partkey", T.escape_key(F.concat(F.lit("1.5$"), "p_name")).alias("key"))
+    return parts.select("p_partkey", "key", T.unescape_key(F.col("key")).alias("plain"))
+
+
+@query(f"""SELECT item_id, array_to_string(list_filter(regexp_extract_all(lower(replace(replace(replace(text, '(', ''), ')', ''), '!', '')), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains({B._STOP}, w)), ' ') AS q FROM benchmark""")
+def index_queries(spark, sf):
+    """P-15."""
+    return B.table(spark, sf, "benchmark").select("item_id", F.array_join(T.index_query(F.col("text")), " ").alias("q"))
+
+
 @query(f"WITH {B.SF}, {B.COMMON} SELECT surface, en_id, cnt, round(commonness, 9) AS commonness FROM cm")
 def commonness(spark, sf):
     return C.commonness(B.surface_forms(spark, sf)).withColumn("commonness", F.round("commonness", 9))
@@ -135,12 +155,22 @@ def trec_run_dedupe(spark, sf):
     return R.trec_run(B.instances(spark, sf), "cmns")
 
 
-@query("""WITH u AS (SELECT DISTINCT user_id FROM events), n AS (SELECT user_id, row_number() OVER (ORDER BY (user_id * 1103515245 + 84 * 1000 + 415) % 2147483647, user_id) - 1 AS i FROM u)
-SELECT user_id, CAST(i % 5 AS INTEGER) AS fold FROM n""".replace("84 * 1000 + 415", str(7 * 12345)))
+_PLACE = "CAST('0x' || substr(md5('7-' || {0}), 1, 7) AS BIGINT)"
+
+
+@query(f"""WITH u AS (SELECT DISTINCT user_id FROM events), n AS (SELECT user_id, row_number() OVER (ORDER BY {_PLACE.format('user_id')}, user_id) - 1 AS i FROM u)
+SELECT user_id, CAST(i % 5 AS INTEGER) AS fold FROM n""")
 def fold_assignment(spark, sf):
     return R.folds(B.table(spark, sf, "events"), "user_id", 5)
 
 
+@query(f"""WITH u AS (SELECT DISTINCT 'u_' || user_id AS session FROM events), n AS (SELECT session, row_number() OVER (ORDER BY {_PLACE.format('session')}, session) - 1 AS i FROM u)
+SELECT session, CAST(i % 3 AS INTEGER) AS fold FROM n""")
+def session_folds(spark, sf):
+    """W-06 over sessions, whose ids are texts."""
+    return R.folds(B.table(spark, sf, "events").select(F.concat(F.lit("u_"), F.col("user_id").cast("string")).alias("session")), "session", 3)
+
+
 @query("""WITH c AS (SELECT event_type AS field, count(DISTINCT user_id) AS docs FROM events GROUP BY ALL)
 SELECT * FROM (SELECT field, docs, CAST(rank() OVER (ORDER BY docs DESC) AS INTEGER) AS rank FROM c) WHERE rank <= 3""")
 def top_fields(spark, sf):
