@@ -5,6 +5,7 @@ All schemas are stated; nothing is inferred. Files are read by Spark alone.
 
 from __future__ import annotations
 
+import contextlib
 import dataclasses
 import json
 import tempfile
@@ -14,9 +15,25 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import query_content, wiki_url_to_uri
+from quillspark.functions.text import query_content, unescape_key, wiki_url_to_uri
 
 _OWN: dict[str, str] = {}
+_OWNERS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Owns the tables that are written to the shared folder inside of it, and deletes them at its end.
+
+    What is wanted of them must have been computed by then.
+    """
+    _OWNERS.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNERS.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -28,7 +45,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if spark.sparkContext.applicationId not in _OWN:
             _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         base = _OWN[spark.sparkContext.applicationId]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _OWNERS:
+        _OWNERS[-1].append(path)
+    return path
 
 
 def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -102,24 +122,26 @@ def read_ntriples(spark: SparkSession, paths: list[str], prefixes: dict[str, str
     """S-07, S-09: s, p, o (arrays of values), of plain or compressed N-Triples files in order.
 
     URIs are shortened by prefixes, literals lose their quotes and tags, empty ones are
-    dropped; reverse swaps subject and object, predicate_prefix marks the predicates. If
+    dropped; values stay in the order of the file; reverse swaps subject and object, predicate_prefix marks the predicates. If
     several files give a subject and predicate, the last file's values stay.
     """
     from quillspark.functions.text import prefixed
 
     out = None
     for order, path in enumerate(paths):
-        lines = spark.read.text(path).where(~F.col("value").startswith("#"))
+        # A line's place: its file, the block of the file that it was read in, and its number there.
+        place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line"))
+        lines = spark.read.text(path).select("value", place.alias("place")).where(~F.col("value").startswith("#"))
         part = lambda k: F.regexp_extract("value", _TRIPLE, k)
-        rows = lines.where(F.col("value").rlike(_TRIPLE)).select(part(1).alias("s"), part(2).alias("p"), part(3).alias("o"))
+        rows = lines.where(F.col("value").rlike(_TRIPLE)).select(part(1).alias("s"), part(2).alias("p"), part(3).alias("o"), "place")
         rows = rows.withColumn("literal", F.col("o").startswith('"')).withColumn("o", F.when(F.col("literal"), F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1)).otherwise(F.col("o")))
         rows = rows.where("NOT literal OR trim(o) != ''").withColumns({c: prefixed(F.col(c), prefixes) for c in ("s", "p")})
         rows = rows.withColumn("o", F.when(F.col("literal"), F.col("o")).otherwise(prefixed(F.col("o"), prefixes)))
         s, o = ("o", "s") if reverse else ("s", "o")
-        rows = rows.select(F.col(s).alias("s"), F.concat(F.lit(predicate_prefix), F.col("p")).alias("p") if not predicate_prefix else F.concat(F.lit(predicate_prefix), F.col("p")).alias("p"), F.col(o).alias("o"), F.lit(order).alias("file"))
+        rows = rows.select(F.col(s).alias("s"), F.concat(F.lit(predicate_prefix), F.col("p")).alias("p"), F.col(o).alias("o"), F.lit(order).alias("file"), "place")
         out = rows if out is None else out.unionByName(rows)
     last = out.groupBy("s", "p").agg(F.max("file").alias("file"))
-    return out.join(last, ["s", "p", "file"]).groupBy("s", "p").agg(F.array_sort(F.collect_list("o")).alias("o"))
+    return out.join(last, ["s", "p", "file"]).groupBy("s", "p").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "o"))), lambda x: x["o"]).alias("o"))
 
 
 def read_surface_counts(spark: SparkSession, path: str, predicate: str = "facc12", lowercase: bool = True, glob: str = "*.tsv") -> DataFrame:
@@ -169,10 +191,15 @@ def read_kb(spark: SparkSession, path: str) -> DataFrame:
 
 
 def point_lookup(df: DataFrame, key: str, value) -> DataFrame:
-    """S-15."""
+    """S-15: the rows of a key; the filter reaches the scan. All rows and their number are df and df.count()."""
     return df.where(F.col(key) == value)
 
 
+def unescaped_keys(df: DataFrame, key: str) -> DataFrame:
+    """S-15: keys of a document store as they were before they were escaped."""
+    return df.withColumn(key, unescape_key(F.col(key)))
+
+
 def read_ragged(spark: SparkSession, path: str, scored: bool = False) -> DataFrame:
     """S-16, M16: q_id, label and ens of lines of any number of cells; blank lines are skipped."""
     cells = F.split("value", "\t")
