@@ -115,11 +115,11 @@ it AS (SELECT q_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(m VARCHAR, e BIGIN
 UNION ALL SELECT it.q_id, g.k, CASE WHEN len(list_filter(sets, lambda s: {_APART})) > 0 THEN list_transform(sets, lambda s: CASE WHEN {_APART} THEN list_append(s, {{'m': g.m, 'e': g.e, 'v': g.v}}) ELSE s END)
 ELSE list_append(sets, [{{'m': g.m, 'e': g.e, 'v': g.v}}]) END FROM it JOIN g ON g.q_id = it.q_id AND g.k = it.k + 1),
 fin AS (SELECT it.q_id, unnest(range(0, len(sets))) AS set_id, unnest(sets) AS s FROM it JOIN gm ON gm.q_id = it.q_id AND gm.m = it.k)
-SELECT q_id, CAST(set_id AS INTEGER) AS set_id, round(list_sum(list_transform(s, lambda x: x.v)) / len(s), 6) AS score, array_to_string(list_sort(list_distinct(list_transform(s, lambda x: CAST(x.e AS VARCHAR)))), '|') AS ens, '1' AS target FROM fin""")
+SELECT q_id, CAST(set_id AS INTEGER) AS set_id, round(list_sum(list_transform(s, lambda x: x.v)) / len(s), 9) AS score, array_to_string(list_sort(list_distinct(list_transform(s, lambda x: CAST(x.e AS VARCHAR)))), '|') AS ens, '1' AS target FROM fin""")
 def greedy_interpretations(spark, sf):
     """X-04, X-05."""
     out = D.greedy(B.instances(spark, sf), 0.0)
-    return out.select("q_id", "set_id", F.round("score", 6).alias("score"), F.array_join(F.array_sort(F.map_keys("inter_set")), "|").alias("ens"), "target")
+    return out.select("q_id", "set_id", F.round("score", 9).alias("score"), F.array_join(F.array_sort(F.map_keys("inter_set")), "|").alias("ens"), "target")
 
 
 #: The best five entities of a query after normalisation, and all their sets.
