@@ -15,7 +15,11 @@
    trees are joined by an exact prefix filter: of any two sets over the threshold both
    hold one of the other's rarest shingles, and only sets of different trees that share
    such a one are compared. So near texts by the thousand cost what their forest costs,
-   and texts that share a frame alone meet in their rare shingles or not at all.
+   and texts that share a frame alone meet in their rare shingles or not at all. Where
+   the filter would leave more than PAIRS_A_SET pairs a set, as among texts that are all
+   just about as like as the threshold, the sets outside of the largest tree meet all
+   sets in a grid of blocks instead: exact too, by matrix products, with work that grows
+   as the one number times the other.
 5. Components of the links; each document gets the smallest id it reaches.
 
 A pair at 0.8 shares no band with probability 5e-8 (32 bands of 4 rows). If one of the two
@@ -41,6 +45,8 @@ LOOSE, TIGHT = 0.3, 0.75
 LEADERS = 4
 #: Members and shingles of a block.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 22
+#: Pairs that the prefix filter may leave for each set of a group.
+PAIRS_A_SET = 8
 #: Rows below which the members' ids are broadcast (8 bytes each) instead of shuffling the texts.
 BROADCAST_MEMBERS = 1 << 20
 
@@ -266,6 +272,11 @@ def _tree_links(sets: DataFrame, trees: DataFrame, share: tuple[int, int]) -> Da
     rarest = F.row_number().over(Window.partitionBy("id", "set").orderBy("c", "tok"))
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     first = stored(toks.join(held, ["component", "tok"]).withColumn("r", rarest).where((F.col("r") <= prefix) & (F.col("lo") < F.col("hi"))).select("component", "tok", "id", "n", "tree"), "rare-shingles")
+    posted = first.groupBy("component", "tok").agg(F.count(F.lit(1)).alias("c")).groupBy("component").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"))
+    whole = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("total"))
+    dense = stored(whole.join(posted, "component").where(F.col("pairs") > PAIRS_A_SET * F.col("c")).select("component", "c", "total"), "dense-groups")
+    grid = _grid_links(labelled, dense, share)
+    first = first.join(dense, "component", "left_anti")
     other = first.select("component", "tok", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("tree").alias("tree2"))
     pairs = first.join(other, ["component", "tok"]).where((F.col("tree") < F.col("tree2")) & (den * F.least("n", "n2") >= num * F.greatest("n", "n2"))).select("id", "id2").distinct()
     texts = labelled.select("id", "shingles")
@@ -282,7 +293,24 @@ def _tree_links(sets: DataFrame, trees: DataFrame, share: tuple[int, int]) -> Da
                         fits.append((i, j))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in fits], pa.int64()), pa.array([y for _, y in fits], pa.int64())], names=["u", "v"])
 
-    return both.mapInArrow(compare, "u long, v long")
+    return both.mapInArrow(compare, "u long, v long").unionAll(grid)
+
+
+def _grid_links(sets: DataFrame, dense: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """u, v: links of the sets outside of their component's largest tree with all its sets, for the components of dense."""
+    mine = sets.join(dense.select("component"), "component", "left_semi")
+    largest = mine.groupBy("component", "tree").agg(F.count(F.lit(1)).alias("k")).groupBy("component").agg(F.max_by("tree", F.struct("k", "tree")).alias("largest"))
+    rest = mine.join(largest, "component").where("tree <> largest")
+    outside = rest.groupBy("component").agg(F.count(F.lit(1)).alias("r"), F.sum("n").alias("r_total"))
+    sizes = dense.join(outside, "component").select("component", _blocks(F.col("r"), F.col("r_total")).alias("rows"), _blocks(F.col("c"), F.col("total")).alias("columns"))
+    sizes = stored(sizes, "grids")
+    cell = (F.col("row").cast("long") * F.col("columns") + F.col("column")).alias("block")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n)).cast("int")
+    across = rest.join(sizes, "component").withColumn("row", own(1, "rows")).withColumn("column", every("columns"))
+    down = mine.join(sizes, "component").withColumn("column", own(2, "columns")).withColumn("row", every("rows"))
+    cells = across.select("component", cell, "id", "shingles").unionAll(down.select("component", cell, "id", "shingles"))
+    return _forests(cells, share)
 
 
 def confirmed_links(docs: DataFrame, members: DataFrame, n_members: int, id_col: str, text_col: str, size: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame | None]:

@@ -135,6 +135,23 @@ def test_large_groups(spark, monkeypatch):
     assert all(got[10_000 + i] == 10_000 + i for i in range(1_500)) and all(got[20_000 + i] == 10_000 + i for i in range(700))
 
 
+@pytest.mark.parametrize("pairs", [0, 8, 1 << 40])
+def test_groups_about_the_threshold(spark, monkeypatch, pairs):
+    """Copies that are all about 0.8 to one another: the grid and the prefix filter give the links of brute force."""
+    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 16)
+    monkeypatch.setattr(near_dup, "PAIRS_A_SET", pairs)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(90)]
+    docs = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 2, 2, 3, 3, 4])):
+            t[rng.randrange(90)] = f"e{rng.randrange(10_000)}"
+        docs.append((i, " ".join(t)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.id: (r.n_shingles, r.component_id) for r in duplicate_classes(df).collect()} == brute(docs)
+
+
 def test_hubs(spark, monkeypatch):
     monkeypatch.setattr(components_module, "HUB", 5)
     edges = [(0, i) for i in range(1, 60)] + [(i, 100 + i) for i in range(1, 40)] + [(300, 400 + i) for i in range(50)] + [(400, 500)]
