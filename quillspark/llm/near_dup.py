@@ -46,7 +46,7 @@ LEADERS = 4
 #: Members and shingles of a block.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 22
 #: Pairs that the prefix filter may leave for each set of a group.
-PAIRS_A_SET = 8
+PAIRS_A_SET = 32
 #: Rows below which the members' ids are broadcast (8 bytes each) instead of shuffling the texts.
 BROADCAST_MEMBERS = 1 << 20
 
@@ -245,8 +245,8 @@ def _forests(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     return dealt.mapInArrow(confirm, "u long, v long")
 
 
-def _blocks(c, total):
-    return F.greatest(F.ceil(c / BLOCK_MEMBERS), F.ceil(total / BLOCK_SHINGLES)).cast("int")
+def _blocks(c, total, members: int | None = None):
+    return F.greatest(F.ceil(c / (members or BLOCK_MEMBERS)), F.ceil(total / BLOCK_SHINGLES)).cast("int")
 
 
 def _tree_links(sets: DataFrame, trees: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -272,7 +272,8 @@ def _tree_links(sets: DataFrame, trees: DataFrame, share: tuple[int, int]) -> Da
     rarest = F.row_number().over(Window.partitionBy("id", "set").orderBy("c", "tok"))
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     first = stored(toks.join(held, ["component", "tok"]).withColumn("r", rarest).where((F.col("r") <= prefix) & (F.col("lo") < F.col("hi"))).select("component", "tok", "id", "n", "tree"), "rare-shingles")
-    posted = first.groupBy("component", "tok").agg(F.count(F.lit(1)).alias("c")).groupBy("component").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"))
+    held = first.groupBy("component", "tok", "tree").agg(F.count(F.lit(1)).alias("c")).groupBy("component", "tok").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    posted = held.groupBy("component").agg(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2).alias("pairs"))  # of different trees, by shingle
     whole = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("total"))
     dense = stored(whole.join(posted, "component").where(F.col("pairs") > PAIRS_A_SET * F.col("c")).select("component", "c", "total"), "dense-groups")
     grid = _grid_links(labelled, dense, share)
@@ -302,7 +303,7 @@ def _grid_links(sets: DataFrame, dense: DataFrame, share: tuple[int, int]) -> Da
     largest = mine.groupBy("component", "tree").agg(F.count(F.lit(1)).alias("k")).groupBy("component").agg(F.max_by("tree", F.struct("k", "tree")).alias("largest"))
     rest = mine.join(largest, "component").where("tree <> largest")
     outside = rest.groupBy("component").agg(F.count(F.lit(1)).alias("r"), F.sum("n").alias("r_total"))
-    sizes = dense.join(outside, "component").select("component", _blocks(F.col("r"), F.col("r_total")).alias("rows"), _blocks(F.col("c"), F.col("total")).alias("columns"))
+    sizes = dense.join(outside, "component").select("component", _blocks(F.col("r"), F.col("r_total"), 2 * BLOCK_MEMBERS).alias("rows"), _blocks(F.col("c"), F.col("total"), 2 * BLOCK_MEMBERS).alias("columns"))
     sizes = stored(sizes, "grids")
     cell = (F.col("row").cast("long") * F.col("columns") + F.col("column")).alias("block")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -135,7 +135,7 @@ def test_large_groups(spark, monkeypatch):
     assert all(got[10_000 + i] == 10_000 + i for i in range(1_500)) and all(got[20_000 + i] == 10_000 + i for i in range(700))
 
 
-@pytest.mark.parametrize("pairs", [0, 8, 1 << 40])
+@pytest.mark.parametrize("pairs", [0, 32, 1 << 40])
 def test_groups_about_the_threshold(spark, monkeypatch, pairs):
     """Copies that are all about 0.8 to one another: the grid and the prefix filter give the links of brute force."""
     monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 16)
