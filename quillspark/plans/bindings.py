@@ -40,7 +40,7 @@ def queries(spark, sf) -> DataFrame:
 
 #: The same title in SQL.
 TITLE = "p_name || ' ' || substr(p_brand, 7)"
-Q = f"""q AS (
+Q = f"""q AS MATERIALIZED (
   SELECT 'o_' || l_orderkey AS q_id, lower(string_agg({TITLE}, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey)) AS q_content
   FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey
 )"""
@@ -51,7 +51,7 @@ GRAMS = """qw AS (
 ), grams AS (
   SELECT q_id, q_content, CAST(n AS INTEGER) AS n, CAST(i AS INTEGER) AS start, array_to_string(w[i + 1 : i + n], ' ') AS mention
   FROM (SELECT *, unnest(range(0, len(w) - n + 1)) AS i FROM qn)
-), men AS (
+), men AS MATERIALIZED (
   SELECT DISTINCT q_id, q_content, n, mention FROM grams
 )"""
 
@@ -63,23 +63,23 @@ def surface_forms(spark, sf) -> DataFrame:
     return linked.unionByName(parts.select("surface", F.lit("<rdfs:label>").alias("predicate"), F.col("p_partkey").alias("en_id"), F.lit(1).cast("long").alias("cnt")))
 
 
-SF = f"""sf AS (
+SF = f"""sf AS MATERIALIZED (
   SELECT lower({TITLE}) AS surface, CASE WHEN l_linestatus = 'F' THEN 'facc09' ELSE 'facc12' END AS predicate, p_partkey AS en_id, count(*) AS cnt
   FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL
   UNION ALL SELECT lower({TITLE}), '<rdfs:label>', p_partkey, 1 FROM part
 )"""
-COMMON = """cm AS (
+COMMON = """cm AS MATERIALIZED (
   SELECT surface, en_id, CAST(sum(cnt) AS BIGINT) AS cnt, CAST(sum(cnt) AS DOUBLE) / sum(sum(cnt)) OVER (PARTITION BY surface) AS commonness
   FROM sf WHERE predicate IN ('facc09', 'facc12') GROUP BY surface, en_id
 )"""
-CAND = f"""fa AS (
+CAND = f"""fa AS MATERIALIZED (
   SELECT q_id, q_content, mention, n, en_id, commonness FROM men JOIN cm ON surface = mention WHERE commonness >= {THRESHOLD}
 ), db AS (
   SELECT DISTINCT m.q_id, m.q_content, m.mention, m.n, s.en_id FROM men m JOIN sf s ON s.surface = m.mention
   WHERE predicate = '<rdfs:label>' AND NOT EXISTS (SELECT 1 FROM fa WHERE fa.q_id = m.q_id AND fa.mention = m.mention AND fa.en_id = s.en_id)
 ), un AS (
   SELECT * FROM fa UNION ALL SELECT db.*, coalesce(cm.commonness, 0) FROM db LEFT JOIN cm ON cm.surface = db.mention AND cm.en_id = db.en_id
-), cand AS (
+), cand AS MATERIALIZED (
   SELECT *, count(*) OVER (PARTITION BY q_id, mention) AS matches FROM un
 )"""
 #: Instances: candidates with a Freebase id for every two parts, scored by rounded commonness.
@@ -124,11 +124,11 @@ INDEX = f"""vals AS (
   UNION ALL SELECT doc_id, 'names', array_to_string(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+'), ' ') FROM documents
 ), toks AS (
   SELECT doc_id, field, term FROM (SELECT doc_id, field, unnest(regexp_extract_all(lower(value), '[\\p{{L}}\\p{{N}}]+')) AS term FROM vals) WHERE NOT list_contains({_STOP}, term)
-), post AS (
+), post AS MATERIALIZED (
   SELECT doc_id, field, term, count(*) AS tf FROM toks GROUP BY ALL
-), lens AS (
+), lens AS MATERIALIZED (
   SELECT doc_id, field, count(*) AS len FROM toks GROUP BY ALL
-), terms AS (
+), terms AS MATERIALIZED (
   SELECT field, term, CAST(sum(tf) AS BIGINT) AS ctf, count(*) AS df FROM post GROUP BY ALL
 ), flds AS (
   SELECT field, CAST(sum(len) AS BIGINT) AS clen, count(*) AS docs, avg(len) AS avg_len FROM lens GROUP BY ALL

@@ -125,7 +125,7 @@ def greedy_interpretations(spark, sf):
 #: The best five entities of a query after normalisation, and all their sets.
 _LEVELS = f"""WITH RECURSIVE {B.ALL.removeprefix("WITH ")}, lim AS (SELECT q_id, min(score) AS lo, max(score) AS hi FROM inst GROUP BY q_id), nrm AS (SELECT inst.* REPLACE (CASE WHEN lo = hi THEN 0.5e0 ELSE (inst.score - lo) / (hi - lo) END AS score) FROM inst JOIN lim ON lim.q_id = inst.q_id),
 o5 AS (SELECT *, row_number() OVER (PARTITION BY q_id, fb_id ORDER BY score DESC, mention, en_id) AS k5 FROM nrm), r5 AS (SELECT *, CAST(sum(CASE WHEN k5 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY q_id ORDER BY score DESC, mention, en_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS rank FROM o5),
-t AS (SELECT q_id, q_content, mention, n, en_id, fb_id, score, commonness, rank, string_split(mention, ' ') AS w FROM r5 WHERE rank <= 5),
+t AS MATERIALIZED (SELECT q_id, q_content, mention, n, en_id, fb_id, score, commonness, rank, string_split(mention, ' ') AS w FROM r5 WHERE rank <= 5),
 lv AS (SELECT q_id, [mention] AS ms, [en_id] AS es, w AS ws, mention AS last FROM t
 UNION ALL SELECT lv.q_id, list_append(ms, t.mention), list_append(es, t.en_id), list_concat(ws, t.w), t.mention FROM lv JOIN t ON t.q_id = lv.q_id AND t.mention > lv.last AND NOT list_has_any(lv.ws, t.w) AND NOT list_contains(lv.es, t.en_id)),
 sets AS (SELECT q_id, ms, es FROM lv)"""
@@ -146,7 +146,7 @@ def interpretation_sets(spark, sf):
 
 
 _MEMB = f"""{_LEVELS}, mb AS (SELECT q_id, array_to_string(ms, '|') AS ms, array_to_string(es, '|') AS es, unnest(ms) AS mention, unnest(es) AS en_id FROM sets),
-att AS (SELECT mb.*, t.q_content, t.fb_id, t.score, t.rank, t.commonness, len(t.w) AS m FROM mb JOIN t ON t.q_id = mb.q_id AND t.mention = mb.mention AND t.en_id = mb.en_id)"""
+att AS MATERIALIZED (SELECT mb.*, t.q_content, t.fb_id, t.score, t.rank, t.commonness, len(t.w) AS m FROM mb JOIN t ON t.q_id = mb.q_id AND t.mention = mb.mention AND t.en_id = mb.en_id)"""
 
 
 def _members(spark, sf, few=None):
