@@ -248,6 +248,18 @@ def test_training_sets(spark):
     assert {r.key: r.target for r in L.training_sets(tried, L.truth_sets(truth), 3).collect()} == {"A:m|C:n": "1", "B:m": "0"}
 
 
+def test_mention_features_leave_the_rows_of_queries_where_they_are(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = spark.createDataFrame([("q", "red ball x", "red ball", 2), ("p", "ball", "ball", 1)], "q_id string, q_content string, mention string, matches long")
+        out = X.mention_features(found, spark.createDataFrame([("red ball", 2), ("ball", 3)], "surface string, n long"))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.q_id, r.len, r.ntem, r.smil, r.matches, round(r.len_ratio, 6)) for r in out.collect()) == [("p", 1, 3, 3, 1, 1.0), ("q", 2, 2, 5, 2, 0.666667)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_context_similarity_of_matches(spark):
     """As of pairs that are given one by one; a pair's rows are summed up where its document's postings are."""
     index = small_index(spark)

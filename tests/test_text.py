@@ -56,3 +56,15 @@ def test_terms(spark):
     assert one(spark, "a b a c", lambda c: T.remove_stop_words(c, ["b"])) == "a a c"
     assert T.mlm_weights(0.2, 0.0, 0.8) == {"names": 0.2, "contents": 0.8}
     assert T.run_id("mlm", th=0.3, k=None) == "mlm-th0.3"
+
+
+@pytest.mark.parametrize(("raw", "plain"), [("Red ball 7", True), ("a", True), ("ORB band", True), ("or and", True), ("", False), (" a", False), ("a ", False), ("a  b", False), ("a\n", False), ("é", False), ("a-b", False), ("OR a", False), ("a AND", False), ("a OR b", False), (None, False)])
+def test_plain_texts_are_only_lower_cased(spark, raw, plain):
+    row = spark.createDataFrame([(raw,)], "x string").select(T.plain(F.col("x")).alias("p"), T.query_content(F.concat_ws(" ", "x", "x")).alias("two")).first()
+    assert row.p is plain and (not plain or row.two == f"{raw} {raw}".lower())
+
+
+def test_runs(spark):
+    rows = [T.runs(F.split(F.lit("a b a b c d e f g h"), " "), n).alias(f"n{n}") for n in (1, 2, 9, 10, 11)]
+    r = spark.range(1).select(*rows).first()
+    assert (r.n1, r.n2[:4], r.n9, r.n10, r.n11) == (list("ababcdefgh"), ["a b", "b a", "a b", "b c"], ["a b a b c d e f g", "b a b c d e f g h"], ["a b a b c d e f g h"], [])
