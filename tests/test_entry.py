@@ -84,6 +84,11 @@ def test_set_instances_against_brute_force(spark, sf):
     assert {(q, frozenset(m)) for (q, _), m in got.items()} == expected
 
 
+def test_queries_shuffle_the_numbers_of_lines_once(spark, sf):
+    plan = B.queries(spark, sf).groupBy("q_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(concat(o_, cast(l_orderkey" in plan
+
+
 def test_two_pass_scores_all_matches_of_a_small_corpus(spark):
     """Of 1,000 documents the first pass of 10,000 loses none, so the best by the mixture are the query's rows."""
     sf = "/root/testdata/sf0.01"
