@@ -89,6 +89,14 @@ def test_queries_shuffle_the_numbers_of_lines_once(spark, sf):
     assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(concat(o_, cast(l_orderkey" in plan
 
 
+def test_suppliers_of_lines_are_not_shuffled(spark, sf):
+    assert "l_suppkey" not in B.queries(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partitions_of_sorted_candidates_fit_in_memory():
+    assert B.dealt(36_000_000, 13.5) == 1215 and B.dealt(36_000_000, 750) == 18_000 and B.dealt(600, 2.0) == 0
+
+
 def test_two_pass_scores_all_matches_of_a_small_corpus(spark):
     """Of 1,000 documents the first pass of 10,000 loses none, so the best by the mixture are the query's rows."""
     sf = "/root/testdata/sf0.01"
