@@ -101,7 +101,7 @@ def test_partitions_of_written_candidates():
     assert B.dealt(36_000_000, 750, B.WRITTEN) == 2700 and B.dealt(36_000_000, 13.5, B.WRITTEN) == 49
 
 
-@pytest.mark.parametrize("name", ["candidate_instances"])
+@pytest.mark.parametrize("name", ["candidate_instances", "minmax_normalise"])
 def test_written_candidates_are_dealt(spark, sf, name, monkeypatch):
     monkeypatch.setattr(B, "dealt", lambda lines, each, rows=B.SORTED: 7 if rows == B.WRITTEN else 0)
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
