@@ -101,13 +101,18 @@ def test_partitions_of_written_candidates():
     assert B.dealt(36_000_000, 750, B.WRITTEN) == 2700 and B.dealt(36_000_000, 13.5, B.WRITTEN) == 49
 
 
-@pytest.mark.parametrize("name", ["candidate_instances", "minmax_normalise"])
+@pytest.mark.parametrize("name", ["candidate_instances", "minmax_normalise", "wiki_candidates"])
 def test_written_candidates_are_dealt(spark, sf, name, monkeypatch):
     monkeypatch.setattr(B, "dealt", lambda lines, each, rows=B.SORTED: 7 if rows == B.WRITTEN else 0)
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert ", 7), REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_wiki_commonness_is_rounded_once_a_surface(spark, sf):
+    plan = QUERIES["wiki_candidates"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FLOOR" not in plan and "Generate" in plan
+
+
 def test_sessions_are_found_once_a_query(spark, sf):
     plan = QUERIES["candidate_instances"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "AS session" in plan and "session" in plan.split("Generate")[0] and "regexp_replace" not in plan.split("Generate")[0]
