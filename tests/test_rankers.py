@@ -60,3 +60,30 @@ def test_models_and_folds_are_saved(spark, tmp_path):
 def test_folds_take_any_key(spark):
     for keys in (spark.range(50).select((F.col("id") * 10**17).alias("k")), spark.range(50).select(F.concat(F.lit("s-"), F.col("id")).alias("k"))):
         assert [r["count"] for r in R.folds(keys, "k", 5).groupBy("fold").count().collect()] == [10] * 5
+
+
+def test_detector_features_of_sets_of_three(spark):
+    """Links, documents and edges of sets in one row, against sets of Python."""
+    about = {1: ([1, 2, 3], [1, 2]), 2: ([2, 3], [2, 3]), 3: ([3, 4], [4]), 4: ([], [])}
+    kind = "q_id string, asked int, terms array<struct<term:string,share:double,pc:double>>, members array<struct<mention:string,en_id:long,score:double,rank:int,commonness:double,mlm_tc:double,context_sim:double,linked:array<long>,docs:array<long>,own:array<struct<term:string,own:double>>,m:int>>"
+    some = [(1,), (4,), (1, 2), (1, 3), (1, 2, 3), (1, 2, 4)]
+    member = lambda e: (f"m{e}", e, 0.1 * e, e, 0.5, 0.25, 0.125, *about[e], [("a", 0.5 * e)], 1)
+    rows = [(str(s), 4, [("a", 0.5, 0.25), ("b", 0.25, 0.5)], [member(e) for e in s]) for s in some]
+    got = {r.q_id: r for r in L.detector_features(spark.createDataFrame(rows, kind), 10).collect()}
+    for s in some:
+        r, n = got[str(s)], len(s)
+        links, docs = ([set(about[e][i]) for e in s] for i in (0, 1))
+        both, every = set.intersection(*links), set.union(*links)
+        edges = sum(bool(docs[i] & docs[j]) for i in range(n) for j in range(i))
+        assert (r.num_nodes, r.num_edges, r.total_links, r.common_links) == (n, edges, len(every), len(both) if n > 1 else -1)
+        assert (r.links_min, r.links_max, r.p) == (min(map(len, links)), max(map(len, links)), len(set.intersection(*docs)) / 10)
+        own = sum(0.5 * e for e in s)
+        sim = math.exp(0.5 * math.log((own + n * 0.1 * 0.25) / 0.25) + 0.25 * math.log(n * 0.1))
+        assert (r.set_sim, r.len_ratio_set, r.score_avg) == pytest.approx((sim, n / 4, 0.1 * sum(s) / n))
+
+
+def test_sets_of_the_detector_are_not_shuffled(spark, sf):
+    df = QUERIES["detector_features"](spark, sf)
+    assert dict(df.dtypes)["links_min"] == "bigint"
+    above = df._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+    assert "Join" not in above and "Aggregate [" not in above
