@@ -5,6 +5,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillspark.operators.retrieval import score_mixture, score_tfidf
@@ -108,6 +109,15 @@ def test_written_candidates_are_dealt(spark, sf, name, monkeypatch):
     assert ", 7), REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+TOGETHER = ["candidates_union"]
+
+
+@pytest.mark.parametrize("name", TOGETHER)
+def test_candidates_of_a_mention_are_written_together(spark, sf, name):
+    rows = QUERIES[name](spark, sf).select(F.spark_partition_id().alias("at"), "mention").collect()
+    assert rows and rows == sorted(rows)
+
+
 def test_wiki_commonness_is_rounded_once_a_surface(spark, sf):
     plan = QUERIES["wiki_candidates"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "FLOOR" not in plan and "Generate" in plan
