@@ -109,7 +109,7 @@ def test_written_candidates_are_dealt(spark, sf, name, monkeypatch):
     assert ", 7), REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
-TOGETHER = ["candidate_instances", "candidates_kb_filtered", "candidates_union", "cer_cv_set", "cer_train_set", "longest_match_backoff", "minmax_normalise"]
+TOGETHER = ["candidate_instances", "candidates_kb_filtered", "candidates_union", "cer_cv_set", "cer_train_set", "longest_match_backoff", "minmax_normalise", "wiki_candidates"]
 
 
 @pytest.mark.parametrize("name", TOGETHER)
